@@ -2,7 +2,9 @@
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .mixing import OP8_SQL, op8_mixing
+from .secrets import op5_secrets
 from .sharding import op7_sharding
+from .simhash import op4_simhash
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op7_sharding, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_secrets, op7_sharding, op8_mixing)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_mixing": OP8_SQL}
