@@ -1,10 +1,13 @@
 """The queries of this subpackage, and DuckDB SQL where SQL can express them."""
 
+from .decontaminate import op10_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language_id import op3_language_id
 from .mixing import OP8_SQL, op8_mixing
 from .secrets import op5_secrets
 from .sharding import op7_sharding
 from .simhash import op4_simhash
+from .tokens import op9_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_simhash, op5_secrets, op7_sharding, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_simhash, op5_secrets, op7_sharding, op8_mixing, op9_token_ids, op10_decontaminate)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_mixing": OP8_SQL}
