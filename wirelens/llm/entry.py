@@ -2,6 +2,7 @@
 
 from .decontaminate import op10_decontaminate
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .html_extract import op2_html_extract
 from .language_id import op3_language_id
 from .line_dedup import op6_line_dedup
 from .mixing import OP8_SQL, op8_mixing
@@ -10,5 +11,5 @@ from .sharding import op7_sharding
 from .simhash import op4_simhash
 from .tokens import op9_token_ids
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_simhash, op5_secrets, op6_line_dedup, op7_sharding, op8_mixing, op9_token_ids, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_html_extract, op3_language_id, op4_simhash, op5_secrets, op6_line_dedup, op7_sharding, op8_mixing, op9_token_ids, op10_decontaminate)}
 ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op8_mixing": OP8_SQL}
