@@ -217,6 +217,22 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
+    """The rows of docs(text, lang) whose language is identified, with a null lang filled in; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(shared.value)
+        for batch in batches:
+            found = [f[0] for f in parser.predict([x or "" for x in batch.column("text").to_pylist()])]
+            at = batch.schema.get_field_index("lang")
+            lang = batch.column(at)
+            filled = pa.array([x if x is not None else f for x, f in zip(lang.to_pylist(), found)], lang.type)
+            yield batch.set_column(at, batch.schema.field(at), filled).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     sample = labelled_sample(docs.where(~held_out()).select("text", "lang"))

@@ -37,47 +37,66 @@ def targets(sizes: dict, weights: Sequence[int], most_repeats: int = MOST_REPEAT
     return {s: round(float(capped[s] if s in capped else left * weight[s] / free), 6) for s in order}
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): the columns in keep, size, source_size, target, taken.
+def _size():
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
 
-    size is the number of words (null: 0). Every row is taken target // source_size times and those below the
-    source's threshold once more; the row at the threshold goes to the nearer side. Null is a source of its own, the
-    last. Rows with the same doc_id and text have one hash and are taken alike. A source without words takes none.
-    """
-    h = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text_or_empty()))), 1, 15), 16, 10).cast("long")
-    sized = stash(
-        docs.select(*keep, F.col("source").alias("mix_source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), h.alias("mix_hash")),
-        "sizes",
-    )
+
+def _hash():
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(text_or_empty()))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
+
+
+def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
+    """mix_source, source_size, target, whole, bound: each row of a source is taken whole times, and once more if its
+    hash is below bound. sized: mix_source, mix_hash, size. At most MOST_SOURCES rows."""
     totals = sized.groupBy("mix_source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = {r["mix_source"]: r["size"] for r in totals}
-    plan = []
+    rows = []
     for s, t in targets(sizes, weights, most_repeats).items():
         whole = min(most_repeats, int(t // sizes[s])) if sizes[s] else 0
-        plan.append((s, sizes[s], t, whole, round(t - whole * sizes[s], 6) if sizes[s] and whole < most_repeats else 0.0))
-    table = sized.sparkSession.createDataFrame(plan, "mix_source string, source_size long, target double, whole int, rest double")
-    table = table.withColumnRenamed("mix_source", "s")
-    # at most MOST_SOURCES rows
-    joined = sized.join(F.broadcast(table), F.col("mix_source").eqNullSafe(F.col("s"))).drop("s")
+        rows.append((s, sizes[s], t, whole, round(t - whole * sizes[s], 6) if sizes[s] and whole < most_repeats else 0.0))
+    table = sized.sparkSession.createDataFrame(rows, "mix_source string, source_size long, target double, whole int, rest double")
+    bounds = _thresholds(sized, table).withColumnRenamed("mix_source", "s")
+    joined = table.join(F.broadcast(bounds), F.col("mix_source").eqNullSafe(F.col("s")), "left")
+    return stash(joined.select(F.col("mix_source").alias("mix_plan_source"), "source_size", "target", F.col("whole").alias("mix_whole"), F.col("bound").alias("mix_bound")), "plan")
+
+
+def _repeats(mix_hash):
+    return F.col("mix_whole") + F.coalesce(mix_hash < F.col("mix_bound"), F.lit(False)).cast("int")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): doc_id, size, source_size, target, taken.
+
+    size is the number of words (null: 0). Every row is taken target // source_size times and those below the
+    source's threshold once more; the row at the threshold goes to the nearer side. Null is a source of its own, the
+    last. Rows with the same doc_id and text have one hash and are taken alike. A source without words takes none.
+    Other columns are ignored.
+    """
+    sized = stash(docs.select("doc_id", F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
+    joined = sized.join(F.broadcast(plan(sized, weights, most_repeats)), F.col("mix_source").eqNullSafe(F.col("mix_plan_source")))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _repeats(F.col("mix_hash"))).alias("taken"))
+
 
-    bound = F.broadcast(_thresholds(joined, table))
-    below = F.coalesce(F.col("mix_hash") < F.col("bound"), F.lit(False)).cast("int")
-    return joined.join(bound.withColumnRenamed("mix_source", "s"), F.col("mix_source").eqNullSafe(F.col("s")), "left").select(
-        *keep, "size", "source_size", "target", (F.col("size") * (F.col("whole") + below)).alias("taken")
-    )
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs that the mix takes, as many times as it takes them; all columns stay."""
+    sized = stash(docs.select(F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
+    chosen = plan(sized, weights, most_repeats).select("mix_plan_source", "mix_whole", "mix_bound")
+    joined = docs.join(F.broadcast(chosen), F.col("source").eqNullSafe(F.col("mix_plan_source")))
+    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), _repeats(_hash())))).select(*docs.columns)
 
 
-def _thresholds(joined: DataFrame, table: DataFrame) -> DataFrame:
+def _thresholds(sized: DataFrame, table: DataFrame) -> DataFrame:
     """mix_source, bound: rows with a hash below bound fill the rest of the source's budget."""
     # edge: start of the bucket in which the budget ends, used: words below that start
-    edge = table.select(F.col("s").alias("mix_source"), "rest", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("used"))
+    edge = table.select("mix_source", "rest", F.lit(0).cast("long").alias("edge"), F.lit(0).cast("long").alias("used"))
     inside = Window.partitionBy("mix_source").orderBy("bucket")
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         wide = shift + STEP_BITS
         e = edge.select(F.col("mix_source").alias("s"), "rest", "edge", "used")
-        rows = joined.select("mix_source", "mix_hash", "size")
+        rows = sized.select("mix_source", "mix_hash", "size")
         if wide < HASH_BITS:
             same = F.col("mix_source").eqNullSafe(F.col("s")) & (F.shiftright("mix_hash", wide) == F.shiftright("edge", wide))
             rows = rows.join(F.broadcast(e), same).select("mix_source", "mix_hash", "size")

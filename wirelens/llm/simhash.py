@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stash, text_or_empty
+from .common import load, stash, text_or_empty, with_row_id
 from .components import components
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
@@ -153,13 +153,15 @@ def bucket_links(keys: np.ndarray, x: np.ndarray, forest: Forest) -> list[tuple[
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges a, b (longs) between distinct fingerprints fps(fp) that join all within MAX_BITS, directly or by way of others."""
+    """Edges set, a, b between distinct fingerprints fps(set int, fp long) of a set that join all within MAX_BITS of each
+    other, directly or by way of others."""
     seg = "shiftrightunsigned(fp, 16 * {k}) & 65535L"
-    rows = fps.select("fp", F.expr(f"inline(array({', '.join(f'struct({k}L AS ring, {seg.format(k=k)} AS seg, {seg.format(k=(k + 1) % 4)} AS next)' for k in range(4))}))"))
-    # at most 4 * 65,536 buckets
-    large = rows.groupBy("ring", "seg").count().where(F.col("count") > LARGE_BUCKET).select("ring", "seg", F.lit(True).alias("large"))
-    keyed = rows.join(F.broadcast(large), ["ring", "seg"], "left").select(
+    rows = fps.select(F.col("set").cast("long").alias("set"), "fp", F.expr(f"inline(array({', '.join(f'struct({k}L AS ring, {seg.format(k=k)} AS seg, {seg.format(k=(k + 1) % 4)} AS next)' for k in range(4))}))"))
+    # at most 4 * 65,536 buckets a set
+    large = rows.groupBy("set", "ring", "seg").count().where(F.col("count") > LARGE_BUCKET).select("set", "ring", "seg", F.lit(True).alias("large"))
+    keyed = rows.join(F.broadcast(large), ["set", "ring", "seg"], "left").select(
         "fp",
+        "set",
         F.expr(
             "explode(CASE WHEN large THEN transform(sequence(0, 15), j -> shiftleft(next & ~shiftleft(1L, j), 23) | shiftleft(seg, 7) | shiftleft(j + 1L, 2) | ring)"
             " ELSE array(shiftleft(seg, 7) | ring) END)"
@@ -167,28 +169,37 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, keys, x = Forest(), np.empty(0, np.int64), np.empty(0, np.uint64)
+        forests: dict[int, Forest] = {}
+        keys, x = np.empty(0, np.int64), np.empty(0, np.uint64)
         for batch in batches:
             keys = np.concatenate([keys, batch.column("key").to_numpy()])
             x = np.concatenate([x, batch.column("fp").to_numpy().view(np.uint64)])
             done = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on
-            yield _edges(bucket_links(keys[:done], x[:done], forest))
+            yield from _edges(keys[:done], x[:done], forests)
             keys, x = keys[done:], x[done:]
-        yield _edges(bucket_links(keys, x, forest))
+        yield from _edges(keys, x, forests)
 
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.select("key", "fp").mapInArrow(run, "a long, b long")
+    numbered = keyed.select(F.expr(f"key + shiftleft(set, {SET_BIT})").alias("key"), "fp")
+    return numbered.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "set int, a long, b long")
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    table = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in (0, 1)], ["a", "b"])
+#: A key has below this bit: ring position, masked bit, equal segment, next segment.
+SET_BIT = 40
+
+
+def _edges(keys: np.ndarray, x: np.ndarray, forests: dict[int, Forest]) -> Iterator[pa.RecordBatch]:
+    for k in np.unique(keys >> SET_BIT).tolist():
+        part = slice(*np.searchsorted(keys, [k << SET_BIT, (k + 1) << SET_BIT]))
+        found = bucket_links(keys[part], x[part], forests.setdefault(k, Forest()))
+        table = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+        cols = [np.full(len(table), k, np.int32), table[:, 0].copy(), table[:, 1].copy()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["set", "a", "b"])
 
 
 def near_classes(docs_fp: DataFrame) -> DataFrame:
     """fp, component_id for each distinct fingerprint of docs_fp(doc_id, fp)."""
     distinct = stash(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fingerprints")
-    roots = stash(components(links(distinct.select("fp"))), "roots")
+    roots = stash(components(links(distinct.select(F.lit(0).alias("set"), "fp"))), "roots")
     member = stash(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "members")
     least = stash(member.groupBy("root").agg(F.min("doc").alias("component_id")).withColumnRenamed("root", "r"), "classes")
     return member.join(least, F.col("root") == F.col("r")).select("fp", "component_id")
@@ -207,5 +218,100 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
+# --- near-dedup of a corpus: 5-word shingles, similarity 0.8
+
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+#: Fingerprints of a text's word set, each of its own hash: a pair must come near in one.
+NEAR_SETS = 4
+#: Smallest shingle hashes that a text keeps to compare by; exact for texts of no more shingles.
+SKETCH = 128
+
+
+def _near_features(data: bytes) -> tuple[int, list[int], list[int]]:
+    """Hash of the word sequence, fingerprints of the word set, sketch of the 5-word shingles."""
+    whole, digest = xxhash.xxh64(seed=SEED), xxhash.xxh64_digest
+    sketch, counts, n = np.empty(0, np.uint32), np.zeros((NEAR_SETS, 64), np.int64), 0
+    seen: set[bytes] = set()
+    tail: list[bytes] = []
+    for words in word_pieces(data.translate(_LOWER)):
+        whole.update(b" ".join(words) + b" ")
+        fresh = set(words) - seen
+        seen |= fresh
+        n += len(fresh)
+        base = np.frombuffer(b"".join([digest(w, SEED) for w in fresh]), ">u8").astype(np.uint64)
+        for k in range(NEAR_SETS):
+            counts[k] += _count_bits(_mixed(base, k).astype(">u8").tobytes())
+        tail += words
+        if len(tail) >= NEAR_SHINGLE:
+            sketch, tail = _smallest(sketch, tail), tail[len(tail) - NEAR_SHINGLE + 1 :]
+    if not len(sketch) and tail:
+        sketch = np.frombuffer(digest(b" ".join(tail), SEED), ">u8").astype(np.uint32)
+    fps = [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big", signed=True) for c in counts]
+    return int.from_bytes(whole.digest(), "big", signed=True), fps, sketch.view(np.int32).tolist()
+
+
+def _smallest(sketch: np.ndarray, words: list[bytes]) -> np.ndarray:
+    digest = xxhash.xxh64_digest
+    joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    starts, ends = (ends - lengths)[: len(words) - NEAR_SHINGLE + 1].tolist(), ends[NEAR_SHINGLE - 1 :].tolist()
+    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint32)
+    return np.unique(np.concatenate([sketch, hashes]))[:SKETCH]
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """An independent hash of each hash."""
+    h = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) of which one stays for each group of near copies; all columns stay.
+
+    Texts are linked if one of NEAR_SETS SimHash fingerprints of their word sets differs in MAX_BITS bits at most
+    and their 5-word shingles have a Jaccard similarity of 0.8 or more (on the sketch); texts with the same
+    lower-case words are one. Groups are connected by links. The row with the smallest doc_id stays (nulls last),
+    of repeated rows the first. Texts without words (null, empty) are equal to each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_near_features(x.as_py()) for x in batch.column("data")]
+            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *cols], ["rid", "doc_id", "tid", "fps", "sketch"])
+
+    rows = with_row_id(docs, "near_rid")
+    data = rows.select(F.col("near_rid").alias("rid"), F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data"))
+    feats = stash(data.mapInArrow(run, "rid long, doc_id long, tid long, fps array<long>, sketch array<int>"), "features")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    texts = stash(feats.groupBy("tid").agg(F.min(order).alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "texts")
+
+    marks = texts.select("tid", F.posexplode("fps").alias("set", "fp"))
+    reps = stash(marks.groupBy("set", "fp").agg(F.min("tid").alias("rep"), F.count(F.lit(1)).alias("c")), "reps")
+    same = marks.join(reps.where("c > 1").select(F.col("set").alias("s"), F.col("fp").alias("f"), "rep"), F.expr("set = s AND fp = f")).where("tid <> rep")
+    linked = stash(links(reps.select("set", "fp")), "links")
+    for end in ("a", "b"):
+        named = reps.select(F.col("set").alias("s"), F.col("fp").alias("f"), F.col("rep").alias(f"{end}_tid"))
+        linked = linked.join(named, (F.col("set") == F.col("s")) & (F.col(end) == F.col("f"))).drop("s", "f")
+    pairs = linked.select(F.least("a_tid", "b_tid").alias("a"), F.greatest("a_tid", "b_tid").alias("b")).unionByName(
+        same.select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b"))
+    )
+    sketches = [texts.select(F.col("tid").alias(f"{e}_tid"), F.col("sketch").alias(f"{e}_sketch")) for e in ("a", "b")]
+    both = stash(pairs.distinct(), "pairs").join(sketches[0], F.col("a") == F.col("a_tid")).join(sketches[1], F.col("b") == F.col("b_tid"))
+    # the smallest hashes of the union, as unsigned numbers, and how many of them both texts have
+    shift = "transform({x}, h -> CAST(h AS BIGINT) & 4294967295L)"
+    joined = f"array_sort({shift.format(x='array_union(a_sketch, b_sketch)')})"
+    union = f"slice({joined}, 1, greatest(1, least({SKETCH}, size({joined}))))"
+    shared = f"size(array_intersect({shift.format(x='array_intersect(a_sketch, b_sketch)')}, {union}))"
+    edges = both.where(F.expr(f"{shared} >= {NEAR_SIMILARITY} * size({union}) AND size({joined}) > 0")).select("a", "b")
+
+    roots = stash(components(edges), "roots").withColumnRenamed("root", "r")
+    member = stash(texts.join(roots, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("r", "tid").alias("root")), "members")
+    kept = member.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.rid").alias("kept_rid"))
+    return rows.join(kept, F.col("near_rid") == F.col("kept_rid"), "left_semi").select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(load(spark, sf_dir, "documents"))
