@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import queries_net
+
+QUERIES: dict = {**queries_net.QUERIES}
+ORACLE_SQL: dict = {**queries_net.ORACLE_SQL}
