@@ -99,8 +99,8 @@ def format_bytes(n: Column) -> Column:
     """1024 steps; whole bytes, else one decimal."""
     out = F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B")))
     for k, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", n / float(1024**k)))
-    return out.otherwise(F.format_string("%.1f TiB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1)))
+    return out.otherwise(F.format_string("%.1f TiB", F.bround(n / float(1024**4), 1)))
 
 
 def utc_time(seconds: Column) -> Column:
