@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -158,7 +159,7 @@ def _chain(s: str, depth: int) -> dict:
 
 def encoding_chains(strings: DataFrame, column: str = "value", depth: int = CHAIN_DEPTH) -> DataFrame:
     """strings with the encodings found one under the other (steps), what is left (final), and whether it is text."""
-    schema = strings.schema.add("steps", "array<string>").add("final", "string").add("printable", "boolean")
+    schema = T.StructType([*strings.schema.fields, T.StructField("steps", T.ArrayType(T.StringType())), T.StructField("final", T.StringType()), T.StructField("printable", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +188,7 @@ def _xor(blob: bytes) -> list[tuple[int, str]]:
 def xor_sweep(blobs: DataFrame, column: str = "data") -> DataFrame:
     """blobs' other columns with key and value for each flag found under a one-byte XOR."""
     others = [c for c in blobs.columns if c != column]
-    schema = blobs.select(*others).schema.add("key", "int").add("value", "string")
+    schema = T.StructType([*blobs.select(*others).schema.fields, T.StructField("key", T.IntegerType()), T.StructField("value", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

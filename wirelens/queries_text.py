@@ -95,6 +95,28 @@ def encoding_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def encoding_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts' beginnings in two layers of encodings, and back."""
+    from .operators import extract
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode(F.lower(F.hex(F.encode(F.substring("text", 1, 24), "UTF-8"))), "UTF-8")), "[\r\n]", "").alias("value"))
+    return extract.encoding_chains(d).select("doc_id", "steps", "final", "printable")
+
+
+def xor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags under a one-byte XOR: a flag with the document's number, under its number as the key."""
+    from .operators import extract
+
+    key = F.lit(0x41)
+    flag = F.concat(F.lit("..flag{doc_"), F.col("doc_id").cast("string"), F.lit("}.."))
+    chars = F.transform(F.filter(F.split(flag, ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseXOR(key)), 2, "0"))
+    return extract.xor_sweep(table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.array_join(chars, "")).alias("data")))
+
+
+_register()(encoding_chain)
+_register("SELECT doc_id, 65 AS key, 'flag{doc_' || doc_id || '}' AS value FROM documents")(xor_sweep)
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents")
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text").cast("binary")
