@@ -93,7 +93,8 @@ class Index:
         h = karp_rabin(ids, self.k)
         known = np.minimum.reduce([ids[j : len(h) + j] for j in range(self.k)]) > 0 if len(h) else np.empty(0, bool)
         at = np.flatnonzero(known)
-        return at[np.isin(h[at], self.hashes)]
+        near = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+        return at[self.hashes[near] == h[at]]
 
     def matches(self, text: str, min_coverage: float) -> list[tuple[int, float, int, int]]:
         """(item_id, coverage, tiles, tokens marked) of each item that the text covers to min_coverage."""
