@@ -1,0 +1,415 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from texts import prose
+from pyspark.sql import functions as F
+
+from wirelens.llm import decontaminate, exact_dedup, html_extract, language_id, line_dedup, mixing, secrets, sharding, simhash, tokens
+
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def rows(df):
+    return sorted(df.collect(), key=repr)
+
+
+# --- exact dedup
+
+
+def test_exact_dedup(spark, odd_docs, no_docs):
+    got = exact_dedup.exact_dedup(odd_docs, block_bytes=64, heavy_share=3).collect()
+    src = odd_docs.collect()
+    assert len(got) == len(src)
+    groups = collections.defaultdict(list)
+    for r in src:
+        groups[re.sub(SPACE, " ", r.text or "")].append(r.doc_id)
+    by_sha = {hashlib.sha256(k.encode()).hexdigest(): v for k, v in groups.items()}
+    for sha, members in by_sha.items():
+        mine = [r for r in got if r.text_sha256 == sha]
+        ids = [m for m in members if m is not None]
+        assert len(mine) == len(members) == mine[0].group_size
+        assert {r.keep_id for r in mine} == {min(ids) if ids else None}
+        assert sum(r.kept for r in mine) == 1
+    assert exact_dedup.exact_dedup(no_docs).count() == 0
+
+
+def test_exact_dedup_tells_texts_apart_by_blocks(spark):
+    texts = ["a" * n for n in range(1, 40)] + ["a" * 20 + "b" + "a" * 19, "a" * 40, "a" * 40]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(df, block_bytes=4, heavy_share=10).collect()
+    assert sum(r.kept for r in got) == len(set(texts)) and {r.group_size for r in got} == {1, 2}
+
+
+# --- HTML
+
+
+def page(body, title="t"):
+    return f"<!DOCTYPE html><html><head><title>{title}</title><script>var a='</p>';</script></head><body><nav><a href=/>home</a></nav>{body}<footer>&copy; all</footer></body></html>"
+
+
+def test_html_extraction(spark):
+    pages = [(k, f"https://a.test/{k}", page(f"<div class=teaser>Read our letter</div><article><h1>Head {k}</h1><p>One &amp; two<b>bold</b><br>line  {k}<p>last {k}<div class='comments'><p>me too</p></div></article>")) for k in range(8)]
+    pages += [(100 + k, f"http://B.test:80/{k}", page(f"<div class='box'>Subscribe now for more</div><div class='text'><p>Story {k} begins here and is long enough.</p><p>It ends {k}.</p></div>")) for k in range(8)]
+    pages += [(200, None, None), (201, "nonsense", ""), (202, "https://c.test/", "<p>unclosed <i>text &lt;3"), (203, "https://c.test/", "<article><p>a b</article>"), (None, "https://a.test/0", pages[0][2])]
+    df = spark.createDataFrame([(*p, 1, "x") for p in pages], "page_id long, url string, html string, host int, text string").repartition(3)
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert len(got) == len(pages)
+    assert got[3] == "Head 3\nOne & twobold\nline 3\nlast 3"
+    assert got[103] == "Story 3 begins here and is long enough.\nIt ends 3."
+    assert got[200] == got[201] == "" and got[202] == "unclosed text <3" and got[203] == "a b" and got[None] == got[0]
+    assert html_extract.extract(df.where("false")).count() == 0
+    assert all(r.n_chars == len(r.text) for r in html_extract.extract(df).collect())
+
+
+# --- language
+
+
+def test_suffix_automaton_accepts_exactly_the_substrings():
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab c") for _ in range(60))
+    steps = language_id.suffix_automaton(text)
+
+    def accepts(s):
+        state = 0
+        for c in s:
+            if c not in steps[state]:
+                return False
+            state = steps[state][c]
+        return True
+
+    for _ in range(500):
+        s = "".join(rng.choice("ab c") for _ in range(rng.randrange(1, 6)))
+        assert accepts(s) == (s in text)
+
+
+def brute_phrases(text, sample):
+    n, at = 1, 0
+    run = ""
+    for c in text:
+        if run + c in sample:
+            run += c
+        else:
+            n += 1
+            run = c if c in sample else ""
+    return n
+
+
+def test_cross_parsing_against_brute_force():
+    sample = (("x", prose(300, 1)), ("y", prose(300, 2)))
+    parser = language_id.Parser(sample)
+    texts = [prose(40, k) for k in range(5, 12)]
+    pieces = sorted((parser.classes(t) for t in texts), key=len, reverse=True)
+    want = sorted(texts, key=lambda t: len(parser.classes(t)), reverse=True)
+    got = parser.phrases(pieces)
+    for k, t in enumerate(want):
+        assert [brute_phrases(t, language_id.letters_only(s)) for _, s in sample] == got[:, k].tolist()
+
+
+def test_language_id(spark, odd_docs, no_docs):
+    en = "the house and the garden were quiet in the evening light of the town "
+    de = "das Haus und der Garten waren still im Abendlicht der kleinen Stadt "
+    train = spark.createDataFrame([("en", en * 20), ("de", de * 20), ("en", None), (None, en)], "lang string, text string")
+    sample = language_id.labelled_sample(train)
+    assert {lang for lang, _ in sample} == {"en", "de"}
+    assert sum(len(t) for _, t in language_id.labelled_sample(train, language_chars=50, sample_chars=100)) <= 4000
+    texts = spark.createDataFrame([(1, "the garden was quiet"), (2, "der Garten war still"), (3, None), (4, "123 !"), (5, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(texts, sample).collect()}
+    assert [got[k].lang_pred for k in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    kept = language_id.keep_identified(odd_docs, sample)
+    assert kept.columns == odd_docs.columns and kept.where("text IS NULL OR text = '' OR text LIKE '42%'").count() == 0
+    assert kept.count() == 8 and kept.where("lang IS NULL").count() == 0
+    assert language_id.keep_identified(no_docs, []).count() == 0 and language_id.labelled_sample(no_docs.select("lang", "text")) == []
+    held = {r.doc_id: r.h for r in spark.range(200).select(F.col("id").alias("doc_id"), language_id.held_out().alias("h")).collect()}
+    assert all(h == (zlib.crc32(str(k).encode()) % 4 == 2) for k, h in held.items())
+
+
+# --- SimHash
+
+
+def slow_fingerprint(text, k=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_fingerprints(odd_docs, monkeypatch):
+    want = [slow_fingerprint(r.text) for r in odd_docs.collect() if len(r.text or "") < 5000]
+    assert [simhash.fingerprint((r.text or "").encode()) for r in odd_docs.collect() if len(r.text or "") < 5000] == want
+    monkeypatch.setattr(simhash, "PIECE", 50)
+    assert [simhash.fingerprint((r.text or "").encode()) for r in odd_docs.collect() if len(r.text or "") < 5000] == want
+
+
+def brute_components(fps):
+    up = list(range(len(fps)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 3:
+                up[find(i)] = find(j)
+    return [find(k) for k in range(len(fps))]
+
+
+@pytest.mark.parametrize("large", [4, 256])
+def test_links_against_all_pairs(spark, monkeypatch, large):
+    rng = random.Random(large)
+    centre = rng.getrandbits(64)
+    fps = {rng.getrandbits(64) for _ in range(150)} | {centre}
+    for _ in range(300):  # a cloud around one fingerprint
+        x = centre
+        for _ in range(rng.randrange(1, 6)):
+            x ^= 1 << rng.randrange(12)
+        fps.add(x)
+    for x in list(fps)[:60]:
+        for d in (1, 2, 3, 4):
+            fps.add(x ^ sum(1 << b for b in rng.sample(range(64), d)))
+    fps = sorted(fps)
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
+    signed = [int(np.array(x, np.uint64).view(np.int64)) for x in fps]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(signed)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.near_classes(df).collect()}
+    roots = brute_components(fps)
+    least = {}
+    for k, r in enumerate(roots):
+        least[r] = min(least.get(r, k), k)
+    assert [got[s] for s in signed] == [least[r] for r in roots]
+
+
+def test_simhash_query_form(odd_docs, no_docs):
+    got = simhash.simhash_classes(odd_docs).collect()
+    assert len(got) == odd_docs.count()
+    empty = [r for r in got if r.fingerprint == "0" * 16]
+    assert len(empty) == 4 and {r.component_id for r in empty} == {2}
+    assert simhash.simhash_classes(no_docs).count() == 0
+
+
+def test_near_dedup(spark, odd_docs, no_docs):
+    base = prose(400, 9).split()
+    changed = base[:200] + ["changed"] + base[201:]
+    other = prose(400, 10)
+    texts = [" ".join(base), " ".join(changed), " ".join(base).upper(), other, "short text", "short text two", "Short  text", None, ""]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, near_rid string")
+    kept = simhash.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5, 7]
+    assert simhash.near_dedup(odd_docs).count() == 7 or simhash.near_dedup(odd_docs).count() == 8
+    assert simhash.near_dedup(no_docs).count() == 0
+
+
+# --- secrets
+
+
+def slow_base(text):
+    kinds = (
+        ("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    )
+    found = [(m.start(), k, m.end(), name) for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m)]
+    return ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(found))
+
+
+def test_secrets(spark, odd_docs, no_docs):
+    rng = random.Random(6)
+    parts = ["password", "PassWD", "token", "secret", "api_key", "apikey", ":", "=", " ", '"', "'", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "deadbeef", "é", "x", "\n", "ſecret", "tok", "en"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    for t in texts:
+        base = ",".join(f"{k}:{a}:{b}" for a, b, k in secrets.find_spans(t) if k in secrets.BASE_KINDS)
+        assert base == slow_base(t), t
+    body = "Zq9" * 10
+    good = f"ghp_{body}{secrets.crc_base62(body)}"
+    kinds = lambda t: {k for _, _, k in secrets.find_spans(t)}
+    assert kinds(f"x {good} y") == {"github"} and kinds(f"x ghp_{body}000000 y") == set()
+    assert kinds("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.abc_-1") == {"jwt"} and kinds("eyJxxxxxx.eyJxxx.abc") == set()
+    assert kinds("-----BEGIN RSA PRIVATE KEY-----") == {"pem"}
+    got = secrets.scan(odd_docs).collect()
+    assert len(got) == odd_docs.count() and secrets.scan(no_docs).count() == 0
+    assert next(r for r in got if r.doc_id == 2).base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+# --- lines
+
+
+def slow_lines(docs):
+    """Places that go if every gram of two lines, and every passage line, is looked up among all before it."""
+    seen, out = set(), {}
+    for doc, text in docs:
+        lines = [re.sub(SPACE, " ", x).strip(" ") for x in (text or "").split("\n")]
+        lines, gone = [x for x in lines if x], set()
+        for p, line in enumerate(lines):
+            for n in (2, 1):
+                g = tuple(lines[p : p + n])
+                if len(g) == n and (n == 2 or len(line.split()) >= 50):
+                    gone |= set(range(p, p + n)) if g in seen else set()
+                    seen.add(g)
+        out[doc] = gone
+    return out
+
+
+def test_line_dedup(spark, odd_docs, no_docs):
+    rng = random.Random(8)
+    shared = [f"shared line {k}" for k in range(8)]
+    docs = []
+    for d in range(40):
+        lines = [f"own {d} {k}" for k in range(rng.randrange(0, 6))]
+        if rng.random() < 0.6:
+            at = rng.randrange(0, len(lines) + 1)
+            a = rng.randrange(0, 4)
+            lines[at:at] = shared[a : a + rng.randrange(1, 6)]
+        if rng.random() < 0.3:
+            lines += ["again", "", "again", "again", "again"]
+        docs.append((d, "\n".join(lines)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = slow_lines(docs)
+    exact = {r.doc_id: r for r in line_dedup.dedup_lines(df, gram=2, window=1).collect()}
+    for d, text in docs:
+        lines = [x for x in text.split("\n") if x]
+        assert [x for x in exact[d].text.split("\n") if x] == [x for p, x in enumerate(lines) if p not in want[d]]
+    wide = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(df).collect()}
+    assert all(wide[d] <= len(want[d]) for d in wide) and sum(wide.values()) >= 0.8 * sum(map(len, want.values()))
+    long = prose(60, 5)
+    two = spark.createDataFrame([(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (None, None)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(two).collect()} == {1: f"a\n{long}\nb", 2: "c\nd", None: ""}
+    assert line_dedup.dedup_lines(odd_docs).count() == odd_docs.count() and line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_line_dedup_is_native(odd_docs):
+    plan = line_dedup.dedup_lines(odd_docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- sharding
+
+
+def test_sharding(odd_docs, no_docs, spark):
+    got = sharding.shard(odd_docs).collect()
+    assert len(got) == odd_docs.count() and sharding.shard(no_docs).count() == 0
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    src = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in odd_docs.collect()), key=repr)
+    assert src == sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr)
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    moved = sharding.shard(many).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("grown_shard <> shard AND grown_shard <> 40")).alias("bad"), F.count_if(F.col("grown_shard") == 40).alias("new")).collect()
+    assert len(moved) == 40 and sum(r.bad for r in moved) == 0 and all(350 < r.n < 650 for r in moved) and 300 < sum(r.new for r in moved) < 700
+    weighted = sharding.shard(many, weights=[1.0, 3.0]).groupBy("shard").count().orderBy("shard").collect()
+    assert 0.22 < weighted[0]["count"] / 20_000 < 0.28
+
+
+# --- mixing
+
+
+def test_targets():
+    t = mixing.targets({"a": 100, "b": 1000, "c": 10, None: 50}, (5, 2, 1))
+    assert t["a"] == 300 and t["c"] == 30 and t[None] == 150 and sum(t.values()) == pytest.approx(1160)
+    assert mixing.targets({}, (5, 2, 1)) == {} and mixing.targets({"a": 0}, (1,)) == {"a": 0}
+
+
+def test_mixing(spark, odd_docs, no_docs):
+    rng = random.Random(1)
+    docs = [(k, "w " * rng.randrange(0, 40), rng.choice(["s1", "s2", "s3", None]), "x") for k in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, taken string")
+    got = mixing.mix(df).collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000))
+    source = {d[0]: d[2] for d in docs}
+    for s in ("s1", "s2", "s3", None):
+        mine = [r for r in got if source[r.doc_id] == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 40 and sum(r.size for r in mine) == mine[0].source_size
+    assert all(r.taken <= 3 * r.size for r in got)
+    assert sorted(got) == sorted(mixing.mix(df.repartition(7)).collect())
+    copies = mixing.mixed_documents(df)
+    assert copies.columns == df.columns
+    n = collections.Counter(r.doc_id for r in copies.collect())
+    assert all(n[r.doc_id] * r.size == r.taken for r in got)
+    assert len(mixing.mix(odd_docs).collect()) == odd_docs.count() and mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+# --- tokens
+
+
+@pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 31, 32])
+def test_packing(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 7, 8, 1000):
+        ids = rng.integers(0, 2**width, n, dtype=np.uint64).astype(np.uint32)
+        data = tokens.pack(ids, width)
+        assert len(data) == -(-n * width // 8)
+        assert (tokens.unpack(data, width, n) == ids).all()
+        for start, count in ((0, 3), (5, 11), (max(0, n - 2), 9)):
+            assert (tokens.unpack(data, width, n, start, count) == ids[start : start + count]).all()
+    assert tokens.width_for(49_408) == 16 and tokens.width_for(2) == 1
+
+
+def test_token_table(spark, odd_docs, no_docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, vocabulary = tokens.default_tokenizer()
+    tok = Tokenizer.from_file(path)
+    odd = [(50, "it's <|endoftext|> <|EndOfText|> naïve café İstanbul ΣΑΣ"), (51, "a\x1cb c\x85d e\xa0f, (x) ... !!! 3.14"), (52, "É É x́")]
+    df = odd_docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    tokens.write_blocks(df, str(tmp_path / "t"), path, vocabulary, block_ids=50)
+    got = sorted(tokens.read_documents(spark, str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    want = collections.defaultdict(list)
+    for r in df.collect():
+        e = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want[r.doc_id].append((len(e), zlib.crc32(np.array(e, "<u4").tobytes())))
+    start = 0
+    for r in got:
+        assert r.start == start and (r.n_tokens, r.ids_crc32) in want[r.doc_id]
+        want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
+        start += r.n_tokens
+    assert not any(want.values())
+    assert tokens.token_table(no_docs).count() == 0
+
+
+# --- decontamination
+
+
+def test_tiles_are_greedy():
+    item = np.arange(1, 21)
+    doc = np.concatenate([[99], item[10:], [98], item[:10], [97]])
+    seeds = [(p, q) for p in range(len(doc) - 2) for q in range(len(item) - 2) if (doc[p : p + 3] == item[q : q + 3]).all()]
+    assert sorted(decontaminate.tiles(doc, item, seeds, 3)) == [(1, 10, 10), (12, 0, 10)]
+    twice = np.concatenate([item, item])
+    seeds = [(p, q) for p in range(len(twice) - 2) for q in range(len(item) - 2) if (twice[p : p + 3] == item[q : q + 3]).all()]
+    assert decontaminate.tiles(twice, item, seeds, 3) == [(0, 0, 20)]
+
+
+def test_karp_rabin_equals_windows():
+    ids = np.random.default_rng(0).integers(1, 5, 200)
+    h = decontaminate.karp_rabin(ids, 4)
+    windows = [tuple(ids[k : k + 4]) for k in range(197)]
+    assert len(h) == 197 and all((h[a] == h[b]) == (windows[a] == windows[b]) for a in range(0, 197, 7) for b in range(197))
+
+
+def test_decontamination(spark, odd_docs, no_docs, monkeypatch):
+    items = [(k, prose(30, 100 + k)) for k in range(6)] + [(6, "too short"), (7, None), (8, "")]
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    w = items[1][1].split()
+    docs = [
+        (1, prose(50, 1) + " " + items[0][1] + " " + prose(50, 2)), (2, " ".join(w[15:]) + " and " + prose(20, 3) + " " + " ".join(w[:15]).upper() + "!"), (3, prose(500, 4)), (4, " ".join(items[2][1].split()[:10])),
+        (5, items[3][1] + " " + items[4][1]), (6, "too short"), (None, items[5][1]), (8, None),
+    ]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
+    want = {(1, 0), (2, 1), (5, 3), (5, 4), (None, 5)}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 8]
+    monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (300,))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(df, bench).collect()) == [3, 4, 6, 8]
+    assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(odd_docs, bench.where("false")).count() == 0
+    assert decontaminate.drop_contaminated(odd_docs, bench).count() == odd_docs.count()

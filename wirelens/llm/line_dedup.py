@@ -22,11 +22,11 @@ from .common import SPACE, WORD, load, stash, text_or_empty, with_row_id
 GRAM, WINDOW, PASSAGE_WORDS = 2, 2, 50
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, and of the lines that aren't blank the hashes hs and whether they are passages, big."""
+def line_hashes(rows: DataFrame) -> DataFrame:
+    """rid, doc_id, and of the lines of rows(rid, doc_id, text) that aren't blank the hashes hs and whether they are passages, big."""
     trimmed = F.transform(F.split(text_or_empty(), "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE, " ")))
     lines = F.filter(trimmed, lambda x: x != "")
-    rows = with_row_id(docs.select("doc_id", "text")).select("rid", "doc_id", lines.alias("lines"))
+    rows = rows.select("rid", "doc_id", lines.alias("lines"))
     hashes = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(WORD)) >= PASSAGE_WORDS).alias("big")))
     return rows.select("rid", "doc_id", hashes.alias("lines")).selectExpr("rid", "doc_id", "lines.h AS hs", "lines.big AS big")
 
@@ -67,9 +67,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     Blank lines are no part of runs and stay. Null text gives an empty text with no lines. Of repeated rows the first
     keeps its lines. The first occurrence of anything always stays. Other columns are ignored.
     """
-    lines = line_hashes(docs)
-    gone = stash(repeated_lines(lines, gram, window), "gone")
     rows = with_row_id(docs.select("doc_id", "text")).select("rid", "doc_id", text_or_empty().alias("text"))
+    gone = stash(repeated_lines(line_hashes(rows), gram, window), "gone")
     joined = rows.join(gone.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left")
     # `gone` counts the lines that aren't blank: find their places among all lines
     filled = r"transform(filter(transform(lines, (l, i) -> struct(l AS l, i AS i)), x -> NOT x.l RLIKE '^[\\x20\\x09-\\x0D]*$'), x -> x.i)"
