@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import load, sliced, text_or_empty
 
 SEED_TOKENS, MIN_COVERAGE = 4, 0.6
 BLOCK_BYTES = 16 << 20
@@ -153,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int = SEED_
     def scan(items: list[tuple[int, str]]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, seed_tokens)
-            for batch in batches:
+            for batch in sliced(batches):
                 rows = [(d, *m) for d, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in index.matches(x, min_coverage)]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "coverage", "tiles", "marked"])
@@ -173,7 +173,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int =
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             index = Index(items, seed_tokens)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not index.matches(x or "", min_coverage) for x in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

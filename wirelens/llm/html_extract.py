@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, stash
+from .common import load, sliced, stash
 
 #: Pages, apart from identical ones, that a host needs for a template; and that a class must occur in.
 LEAST_PAGES = 5
@@ -151,7 +151,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("t", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("text", pa.int32()), ("container", pa.int64()), ("chars", pa.int32())]))
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for html in batch.column("html").to_pylist():
                 seen: dict[int, dict] = {}
@@ -204,11 +204,15 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 def main_text(html: str, template: frozenset[int], container: int | None) -> str:
     """The blocks that fill main slots, joined by newlines."""
-    found = [t for t in tokens(html) if t.text]
-    level = max((t.main for t in found if not t.boiler), default=0)
-    rest = [t for t in found if not t.boiler and t.key not in template]
+    found = [t for t in tokens(html) if t.text and not t.boiler]
+    level = max((t.main for t in found), default=0)
+    if level == 2:
+        # an article's own text stays even if other pages of the host share it, as copies do
+        return "\n".join(t.text for t in found if t.main == 2)
+    rest = [t for t in found if t.main == level]
+    rest = [t for t in rest if t.key not in template] or rest
     if level:
-        return "\n".join(t.text for t in rest if t.main >= level)
+        return "\n".join(t.text for t in rest)
     free = [t for t in rest if not t.linked]
     # without an article element: what lies in the host's main container, else all that is no link
     return "\n".join(t.text for t in ([t for t in free if t.container == container] or free))
@@ -228,7 +232,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     joined = rows.join(F.broadcast(known) if size <= BROADCAST_TOKENS else known, F.col("host") == F.col("h"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             cols = (batch.column(c).to_pylist() for c in ("html", "texts", "container"))
             found = [main_text(html, frozenset(texts or ()), container) for html, texts, container in zip(*cols)]
             arrays = [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]

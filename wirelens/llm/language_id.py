@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import load, sliced, text_or_empty
 
 #: Bound of the labelled sample: characters a language, and characters of all languages together.
-LANGUAGE_CHARS, SAMPLE_CHARS = 40_000, 200_000
+LANGUAGE_CHARS, SAMPLE_CHARS = 30_000, 120_000
 #: Letters that the automata tell apart; rarer ones end a phrase.
 MOST_LETTERS = 250
-CHUNK, SIDE_BY_SIDE = 1024, 8192
+CHUNK, SIDE_BY_SIDE = 1024, 4096
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 
@@ -142,7 +142,7 @@ class Parser:
     def phrases(self, pieces: list[np.ndarray]) -> np.ndarray:
         """Phrases of each piece by each language: [languages, pieces]. pieces: by length, longest first."""
         lengths = np.array([len(p) for p in pieces])
-        codes = np.zeros((lengths[0], len(pieces)), np.int32)
+        codes = np.zeros((lengths[0], len(pieces)), self.code.dtype)
         for k, p in enumerate(pieces):
             codes[: len(p), k] = p
         count = np.ones((len(self.langs), len(pieces)), np.int64)
@@ -150,7 +150,7 @@ class Parser:
         active = len(pieces) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         for j in range(lengths[0]):
             n = active[j]
-            c, s = codes[j, :n], state[:, :n]
+            c, s = codes[j, :n].astype(np.int32), state[:, :n]
             to = self.table.take(s * self.width + c)
             miss = to < 0
             if miss.any():
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found = parser.predict([x or "" for x in batch.column("text").to_pylist()])
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "lang_pred", "score"])
@@ -223,7 +223,7 @@ def keep_identified(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             found = [f[0] for f in parser.predict([x or "" for x in batch.column("text").to_pylist()])]
             at = batch.schema.get_field_index("lang")
             lang = batch.column(at)

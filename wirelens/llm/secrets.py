@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import load, sliced, text_or_empty
 
 BASE_KINDS = ("assign", "access", "hex")
 # The patterns of the contract, then public token formats.
@@ -113,7 +113,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for x in batch.column("text"):
                 spans = find_spans(x.as_py())

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, stash, text_or_empty, with_row_id
+from .common import load, sliced, stash, text_or_empty, with_row_id
 from .components import components
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp (signed long) of each row; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column("data")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
@@ -277,7 +277,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_near_features(x.as_py()) for x in batch.column("data")]
             cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *cols], ["rid", "doc_id", "tid", "fps", "sketch"])
