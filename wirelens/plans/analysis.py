@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,10 @@ from ..sources.pcap import capture_meta, read_packets
 from ..sources.rules import Rule, load_rules
 
 
+#: Detectors that run at the same time.
+SIDE_BY_SIDE = 6
+
+
 class Analysis:
     """Packets of a path (or given) and all that follows from them. Packets and streams, which many results read, are
     kept on disk after their first use; close() lets them go."""
@@ -46,7 +51,7 @@ class Analysis:
 
     @cached_property
     def conversations(self) -> DataFrame:
-        return flows.conversations(self.packets)
+        return self._keep(flows.conversations(self.packets))
 
     @cached_property
     def dns(self) -> DataFrame:
@@ -54,7 +59,7 @@ class Analysis:
 
     @cached_property
     def dns_named(self) -> DataFrame:
-        return dns.with_domain(self.dns)
+        return self._keep(dns.with_domain(self.dns))
 
     @cached_property
     def hosts(self) -> DataFrame:
@@ -74,7 +79,7 @@ class Analysis:
 
     @cached_property
     def credentials(self) -> DataFrame:
-        return app.credentials(self.streams)
+        return self._keep(app.credentials(self.streams))
 
     @cached_property
     def banners(self) -> DataFrame:
@@ -106,7 +111,7 @@ class Analysis:
 
     @cached_property
     def covert_fields(self) -> DataFrame:
-        return covert.http_fields(self.http).unionByName(covert.dns_fields(self.dns)).unionByName(covert.tcp_ip_fields(self.packets))
+        return self._keep(covert.http_fields(self.http).unionByName(covert.dns_fields(self.dns)).unionByName(covert.tcp_ip_fields(self.packets)))
 
     @cached_property
     def covert(self) -> DataFrame:
@@ -121,17 +126,23 @@ class Analysis:
     def findings(self) -> DataFrame:
         """All detectors, ranked; a detector that fails gives a finding that says so.
 
-        Each detector is an action of its own, so that its failure is its own; it gives a few rows at most.
+        Each detector is an action of its own, so that its failure is its own; it gives a few rows at most. They run
+        side by side, as most are short, over the packets and flows that are kept.
         """
-        parts = []
-        for name, detect in detectors.DETECTORS.items():
+
+        def rows(item: tuple) -> list:
+            name, detect = item
             try:
-                rows = detect(self).collect()
+                return detect(self).collect()
             except Exception as e:  # any detector, users' too
                 first = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
                 failed = self.spark.range(1)
-                rows = findings.finding(failed, id=F.lit(f"internal.detector-error.{name}"), title=f"The detector {name} failed", severity="INFO", confidence="low", description=first, explanation="Other results are complete.", verification="", protocol="").collect()
-            parts += rows
+                return findings.finding(failed, id=F.lit(f"internal.detector-error.{name}"), title=f"The detector {name} failed", severity="INFO", confidence="low", description=first, explanation="Other results are complete.", verification="", protocol="").collect()
+
+        for shared in (self.packets, self.flows, self.http):
+            shared.count()
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            parts = [r for found in pool.map(rows, detectors.DETECTORS.items()) for r in found]
         return findings.ranked(self.spark.createDataFrame(parts, findings.SCHEMA))
 
     @cached_property
