@@ -185,7 +185,9 @@ def test_reports(analysis, tmp_path):
         reports.write_report(analysis, str(tmp_path / fmt), fmt)
     assert json.loads((tmp_path / "json").read_text())["risk"]["score"] == 100
     page = (tmp_path / "html").read_text()
-    assert "<script" not in page and "&lt;script" in page
+    assert "<script" not in page
+    hostile = reports.to_html({"risk": {"score": 0, "label": "none"}, "findings": [], "hosts": [{"ip": "<script>x</script>"}]})
+    assert "<script" not in hostile and "&lt;script&gt;x" in hostile
     assert "s3cret" not in page + (tmp_path / "md").read_text()
     with pytest.raises(ValueError):
         reports.write_report(analysis, str(tmp_path / "x"), "pdf")

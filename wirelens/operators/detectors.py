@@ -167,7 +167,7 @@ def detect_http_attacks(a) -> DataFrame:
     )
     hits = scan(t, [r for r in a.rules.values() if r.id.startswith("http.")])
     by = hits.groupBy("rule", "kind", "confidence").agg(
-        F.count(F.lit(1)).alias("hits"), F.sort_array(F.collect_set("client")).alias("clients"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("value", F.struct("ts", "stream", "n")).alias("example"), F.min("stream").alias("stream"),
+        F.count(F.lit(1)).alias("hits"), F.sort_array(F.collect_set("client")).alias("clients"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("value", F.struct("ts", "stream", "n", "value")).alias("example"), F.min("stream").alias("stream"),
     )
     return finding(
         capped(by, 12, "first_ts", "rule"), id=F.concat(F.lit("http."), F.col("rule")), title=_text("HTTP attack pattern: %s (%d)", "kind", "hits"), severity=F.when(F.col("kind").isin(*SEVERE_KINDS), "HIGH").otherwise("MEDIUM"), confidence=F.when(F.col("confidence") == "high", "high").otherwise("medium"),
