@@ -12,9 +12,11 @@ small columns. The tokenizer sees each distinct word of a task once.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, shared_folder, text_or_empty, with_row_id
+from .common import load, shared_folder, sliced, text_or_empty, with_row_id
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Characters of a text that are split into words at a time; words that a task remembers.
-PIECE, MOST_WORDS = 1 << 20, 1_000_000
+PIECE, MOST_WORDS = 1 << 20, 500_000
+#: Distinct words of letters encoded together.
+JOINED = 4096
 BLOCKS = "part int, block int, first_id long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
 
 
@@ -49,6 +53,7 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(payload: bytes, width: int, n_ids: int, start: int = 0, count: int | None = None) -> np.ndarray:
     """count ids from start on, reading only their bytes."""
+    start = min(start, n_ids)
     count = n_ids - start if count is None else min(count, n_ids - start)
     if width in (8, 16, 32):
         return np.frombuffer(payload, f"<u{width // 8}", count, start * width // 8).astype(np.uint32)
@@ -63,70 +68,136 @@ def unpack(payload: bytes, width: int, n_ids: int, start: int = 0, count: int |
 class WordEncoder:
     """Encodes texts word by word, each distinct word once.
 
-    No token of this tokenizer's kind spans white space, so a text's ids are those of its words in turn.
+    No token of this tokenizer's kind spans white space, so a text's ids are those of its words in turn. Words of
+    letters alone are encoded many at a time, joined by spaces: each is one piece and so ends at a token with the
+    end-of-word suffix.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
+        #: number of each known word, and of each part of one
         self.at: dict[str, int] = {}
-        self.start, self.length, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        # where a number's ids start in flat, and how many they are
+        self.start, self.length, self.hits, self.flat = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, np.int32, np.uint32))
+        self.known = self.used = 0
+
+    def _trim(self) -> None:
+        """Forget the words seen once, and of more than half the room the rarest; the others' counts are halved."""
+        hits = self.hits[: self.known]
+        least = max(2, int(np.partition(hits, -MOST_WORDS // 2)[-MOST_WORDS // 2]) + 1)
+        keep = hits >= least
+        number = np.cumsum(keep) - 1
+        at = {w: int(number[k]) for w, k in self.at.items() if keep[k]}
+        kept = np.flatnonzero(keep)
+        lengths, ids, hits = self.length[kept], self._gather(kept), hits[kept] >> 1
+        self._clear()
+        self.at = at
+        self._store(lengths, ids)
+        self.hits[: self.known] = hits
+
+    def _store(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.start = _room(self.start, self.known + len(lengths))
+        self.length = _room(self.length, self.known + len(lengths))
+        self.hits = _room(self.hits, self.known + len(lengths))
+        self.flat = _room(self.flat, self.used + len(ids))
+        at = slice(self.known, self.known + len(lengths))
+        self.start[at] = self.used + np.cumsum(lengths) - lengths
+        self.length[at] = lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.known, self.used = at.stop, self.used + len(ids)
+
+    def _encode_parts(self, parts: list[str], joined: bool) -> None:
+        """Number and store parts that aren't known; joined: they are letters alone."""
+        for k in range(0, len(parts), JOINED):
+            group = parts[k : k + JOINED]
+            if joined:
+                ids = np.array(self.tok.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+                last = np.flatnonzero(self.ends[ids])
+            if not joined or len(last) != len(group):
+                lists = [e.ids for e in self.tok.encode_batch(group, add_special_tokens=False)]
+                ids = np.fromiter((i for x in lists for i in x), np.uint32)
+                last = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) - 1
+            self.at.update(zip(group, range(self.known, self.known + len(group))))
+            self._store(np.diff(last, prepend=-1), ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Words apart from case and closing punctuation share an encoding."""
-        split = [_core(w) for w in words]
-        parts = list(dict.fromkeys(p for s in split for p in s))
-        ids = dict(zip(parts, (e.ids for e in self.tok.encode_batch(parts, add_special_tokens=False))))
-        lists = [ids[s[0]] if len(s) == 1 else ids[s[0]] + ids[s[1]] for s in split]
-        for k, w in enumerate(words, len(self.at)):
-            self.at[w] = k
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.length = np.concatenate([self.length, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, lengths.sum())])
+        """Words apart from case and closing punctuation share the encoding of their letters."""
+        at, letters, others, changed = self.at, {}, {}, []
+        for w in words:
+            bare = w.rstrip(".,;:!?|")
+            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0180"):
+                low = bare.lower()
+                if low not in at:
+                    letters[low] = None
+                if low != w:
+                    changed.append((w, low, w[len(bare) :]))
+                    if len(bare) < len(w) and w[len(bare) :] not in at:
+                        others[w[len(bare) :]] = None
+            elif w not in at:
+                others[w] = None
+        self._encode_parts(list(letters), joined=True)
+        self._encode_parts(list(others), joined=False)
+        at.update((w, at[low]) for w, low, closing in changed if not closing)
+        if two := [(w, at[low], at[closing]) for w, low, closing in changed if closing]:
+            k = np.array([t[1:] for t in two], np.int64)
+            at.update(zip((t[0] for t in two), range(self.known, self.known + len(two))))
+            self._store(self.length[k].sum(axis=1), self._gather(k.ravel()))
+
+    def _gather(self, k: np.ndarray) -> np.ndarray:
+        n = self.length[k]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.start[k] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)]
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words, and how many each word has."""
-        at = self.at
-        if new := [w for w in dict.fromkeys(words) if w not in at]:
-            if len(at) + len(new) > MOST_WORDS:
-                self._clear()
-                at, new = self.at, list(dict.fromkeys(words))
-            self._learn(new)
-        k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        n = self.length[k]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.start[k] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)], n
+        k = self._numbers(words)
+        if len(missing := np.flatnonzero(k < 0)):
+            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
+            k = self._numbers(words)
+        self.hits[: self.known] += np.bincount(k, minlength=self.known).astype(np.int32)
+        out = self._gather(k), self.length[k]
+        if len(self.at) > MOST_WORDS:
+            self._trim()
+        return out
 
 
-def _core(word: str) -> tuple[str, ...]:
-    """(letters in lower case, closing punctuation) where that is how the tokenizer sees the word, else the word."""
-    bare = word.rstrip(".,;:!?|")
-    if bare.isalpha() and max(bare) < "ƀ" and "İ" not in bare:
-        return (bare.lower(), word[len(bare) :]) if len(bare) < len(word) else (bare.lower(),)
-    return (word,)
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
 
 
 def word_lists(text: str) -> Iterator[list[str]]:
-    """Words between ASCII white space, of about PIECE characters at a time."""
+    """Words between white space, in lower case where that is safe, of about PIECE characters at a time."""
     start = 0
     while start < len(text):
         end = start + PIECE
         while end < len(text) and text[end] not in " \t\n\r\x0b\x0c":
             end += 1
-        yield text[start:end].translate(_SPACES).split(" ")
+        piece = text[start:end]
+        if "<|" not in piece and not _BEYOND_LATIN.search(piece):  # special tokens have their case
+            piece = piece.lower()  # as the tokenizer does, letter by letter
+        # these four are no white space to the tokenizer
+        yield piece.split() if not _SEPARATORS.search(piece) else [w for w in re.split(r"[ \t\n\r\x0b\x0c]+", piece) if w]
         start = end
 
 
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BEYOND_LATIN = re.compile("[\u0180-\U0010ffff]")
 
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
+    """A worker keeps its encoder, with MOST_WORDS words at most, for its next task."""
     return WordEncoder(path)
 
 
@@ -149,19 +220,40 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
             row = {"part": part, "block": block, "first_id": first, "n_ids": held, "width": width, "doc_ids": names, "ends": ends, "payload": pack(np.concatenate(ids), width)}
             return pa.RecordBatch.from_pylist([row], _BLOCK_TYPES)
 
-        for batch in batches:
+        def encoded(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray, bool]]:
+            """(doc_id, ids, whether the document ends) in order, some ten thousand words encoded at a time."""
+            words: list[str] = []
+            cuts: list[tuple[int | None, int, bool]] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for words in word_lists(text):
-                    got = encoder.encode([w for w in words if w])[0]
-                    ids.append(got)
-                    held += len(got)
-                ids.append(np.array([end_id], np.uint32))
-                held += 1
-                names.append(doc_id)
-                ends.append(held)
-                if held >= block_ids:
-                    yield flush()
-                    block, first, held, ids, names, ends = block + 1, first + held, 0, [], [], []
+                for more in word_lists(text):
+                    words += more
+                    cuts.append((doc_id, len(words), False))
+                    if len(words) >= PIECE // 16:
+                        yield from cut(words, cuts)
+                        words, cuts = [], []
+                cuts.append((doc_id, len(words), True))
+            yield from cut(words, cuts)
+
+        def cut(words: list[str], cuts: list[tuple[int | None, int, bool]]) -> Iterator[tuple[int | None, np.ndarray, bool]]:
+            got, n = encoder.encode(words)
+            upto, a = np.concatenate(([0], np.cumsum(n))), 0
+            for doc_id, k, ended in cuts:
+                yield doc_id, got[a : upto[k]], ended
+                a = upto[k]
+
+        end = np.array([end_id], np.uint32)
+        for batch in sliced(batches):
+            for doc_id, got, ended in encoded(batch):
+                ids.append(got)
+                held += len(got)
+                if ended:
+                    ids.append(end)
+                    held += 1
+                    names.append(doc_id)
+                    ends.append(held)
+                    if held >= block_ids:
+                        yield flush()
+                        block, first, held, ids, names, ends = block + 1, first + held, 0, [], [], []
         if names:
             yield flush()
 
@@ -188,7 +280,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each stored document, from its unpacked ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 16):
             for row in batch.to_pylist():
                 ids = unpack(row["payload"], row["width"], row["n_ids"]).astype("<u4")
                 ends = np.array(row["ends"], np.int64)
