@@ -52,7 +52,7 @@ def repeated_lines(lines: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     first = stash(first.selectExpr("f AS f0", "n AS n0", "first.key AS key0", "first.before AS before0", "first.after AS after0"), "first")
 
     equal = "coalesce(nullif(array_position(zip_with({x}, {x}0, (a, b) -> coalesce(a = b, false)), false), 0) - 1, size({x}))"
-    later = places.join(first, (F.col("f") == F.col("f0")) & (F.col("n") == F.col("n0"))).where("key > key0")
+    later = places.join(first.hint("merge"), (F.col("f") == F.col("f0")) & (F.col("n") == F.col("n0"))).where("key > key0")
     runs = later.selectExpr("rid", f"p - {equal.format(x='before')} AS a", f"p + n + {equal.format(x='after')} AS b").groupBy("rid", "a").agg(F.max("b").alias("b"))
     done = F.coalesce(F.max("b").over(Window.partitionBy("rid").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = runs.withColumn("start", F.greatest("a", done)).where("b > start")
@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     """
     rows = with_row_id(docs.select("doc_id", "text")).select("rid", "doc_id", text_or_empty().alias("text"))
     gone = stash(repeated_lines(line_hashes(rows), gram, window), "gone")
-    joined = rows.join(gone.withColumnRenamed("rid", "r"), F.col("rid") == F.col("r"), "left")
+    # the decisions grow with the corpus: the same join at every size
+    joined = rows.join(gone.withColumnRenamed("rid", "r").hint("merge"), F.col("rid") == F.col("r"), "left")
     # `gone` counts the lines that aren't blank: find their places among all lines
     filled = r"transform(filter(transform(lines, (l, i) -> struct(l AS l, i AS i)), x -> NOT x.l RLIKE '^[\\x20\\x09-\\x0D]*$'), x -> x.i)"
     rest = "transform(array_except(sequence(0, size(lines) - 1), transform(gone, k -> filled[k])), i -> lines[i])"
