@@ -208,6 +208,51 @@ def test_near_dedup(spark, odd_docs, no_docs):
     assert simhash.near_dedup(no_docs).count() == 0
 
 
+def near_texts():
+    """Texts around similarity 0.8, of shared words, with chains over texts that aren't alike and copies of three lengths."""
+    rng = random.Random(12)
+    words = prose(60, 13).split()
+    texts = []
+    for length in (30, 120, 500):
+        for _ in range(12):
+            base = rng.choices(words, k=length)
+            texts.append(base)
+            for _ in range(6):  # each changes the last one a little
+                base = list(base)
+                for _ in range(max(1, round(length * rng.choice((0.01, 0.02, 0.03))))):
+                    base[rng.randrange(length)] = rng.choice(words)
+                texts.append(base)
+    rng.shuffle(texts)
+    return [" ".join(t) for t in texts]
+
+
+def near_roots(texts):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return sorted({find(k) for k in range(len(sets))})
+
+
+@pytest.mark.parametrize("reach", [(8, 64, None), (1, None)])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, reach):
+    texts = near_texts()
+    want = near_roots(texts)
+    monkeypatch.setattr(simhash, "REACH", reach, raising=False)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
+    assert 0.2 * len(texts) < len(want) < 0.9 * len(texts)
+
+
 # --- secrets
 
 

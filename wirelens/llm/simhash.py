@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -221,94 +222,175 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 # --- near-dedup of a corpus: 5-word shingles, similarity 0.8
 
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: Fingerprints of a text's word set, each of its own hash: a pair must come near in one.
-NEAR_SETS = 4
-#: Smallest shingle hashes that a text keeps to compare by; exact for texts of no more shingles.
-SKETCH = 128
+_P, _Q = Fraction(str(NEAR_SIMILARITY)).as_integer_ratio()
+#: Texts that are sampled for the shingles that many texts have, and how many of those put a shingle last in the order.
+SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 10_000, 4, 100_000
+#: How far apart in a bucket texts are compared, round by round; None is every pair not joined by then.
+REACH = (8, 64, None)
 
 
-def _near_features(data: bytes) -> tuple[int, list[int], list[int]]:
-    """Hash of the word sequence, fingerprints of the word set, sketch of the 5-word shingles."""
+def _near_shingles(data: bytes) -> tuple[int, np.ndarray]:
+    """Hash of the word sequence, and the sorted distinct hashes of the 5-word shingles (of all words if there are fewer)."""
     whole, digest = xxhash.xxh64(seed=SEED), xxhash.xxh64_digest
-    sketch, counts, n = np.empty(0, np.uint32), np.zeros((NEAR_SETS, 64), np.int64), 0
-    seen: set[bytes] = set()
+    found: list[np.ndarray] = []
     tail: list[bytes] = []
     for words in word_pieces(data.translate(_LOWER)):
         whole.update(b" ".join(words) + b" ")
-        fresh = set(words) - seen
-        seen |= fresh
-        n += len(fresh)
-        base = np.frombuffer(b"".join([digest(w, SEED) for w in fresh]), ">u8").astype(np.uint64)
-        for k in range(NEAR_SETS):
-            counts[k] += _count_bits(_mixed(base, k).astype(">u8").tobytes())
         tail += words
-        if len(tail) >= NEAR_SHINGLE:
-            sketch, tail = _smallest(sketch, tail), tail[len(tail) - NEAR_SHINGLE + 1 :]
-    if not len(sketch) and tail:
-        sketch = np.frombuffer(digest(b" ".join(tail), SEED), ">u8").astype(np.uint32)
-    fps = [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big", signed=True) for c in counts]
-    return int.from_bytes(whole.digest(), "big", signed=True), fps, sketch.view(np.int32).tolist()
+        if len(tail) < NEAR_SHINGLE:
+            continue
+        joined, lengths = b" ".join(tail), np.fromiter(map(len, tail), np.int64, len(tail))
+        ends = np.cumsum(lengths + 1) - 1
+        starts, ends = (ends - lengths)[: len(tail) - NEAR_SHINGLE + 1].tolist(), ends[NEAR_SHINGLE - 1 :].tolist()
+        found.append(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">i8"))
+        tail = tail[len(tail) - NEAR_SHINGLE + 1 :]
+    if not found and tail:
+        found.append(np.frombuffer(digest(b" ".join(tail), SEED), ">i8"))
+    hashes = np.unique(np.concatenate(found).astype(np.int64)) if found else np.empty(0, np.int64)
+    return int.from_bytes(whole.digest(), "big", signed=True), hashes
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all texts, rare ones first, of which texts of similarity 0.8 share one at least."""
+    n = len(hashes)
+    at = np.searchsorted(common, hashes)
+    rank = np.zeros(n, np.int64)
+    known = at < len(common)
+    known[known] = common[at[known]] == hashes[known]
+    rank[known] = often[at[known]]
+    return hashes[np.lexsort((hashes, rank))[: n - -(-_P * n // _Q) + 1]] if n else hashes
+
+
+def _common_shingles(data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and how many have them. Only the order of shingles depends on them, no result does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for x in batch.column("data"):
+                yield pa.RecordBatch.from_arrays([pa.array(_near_shingles(x.as_py())[1])], ["h"])
+
+    parts = -(-data.count() // SAMPLE_TEXTS)
+    counts = data.where(F.pmod(F.xxhash64("data"), F.lit(max(parts, 1))) == 0).select("data").mapInArrow(run, "h long").groupBy("h").count()
+    top = counts.where(F.col("count") >= COMMON_TEXTS).orderBy(F.desc("count"), "h").limit(MOST_COMMON).orderBy("h").collect()
+    return np.array([r["h"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first column, cut where it changes."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(c) for c in zip(held, cols)] if held else cols
+        done = np.searchsorted(held[0], held[0][-1]) if len(held[0]) else 0  # the last key may go on
+        if done:
+            yield [c[:done] for c in held]
+            held = [c[done:] for c in held]
+    if held:
+        yield held
+
+
+def _buckets(texts: DataFrame) -> DataFrame:
+    """key, tid, n, pos: the prefix shingles that more than one text has, with the text's count of shingles and the place in its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches):
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "tid", "n", "pos"])
+
+    rows = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "tid", "n", "pos")
+    return stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, tid long, n int, pos int"), "buckets")
 
 
-def _smallest(sketch: np.ndarray, words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_digest
-    joined, lengths = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts, ends = (ends - lengths)[: len(words) - NEAR_SHINGLE + 1].tolist(), ends[NEAR_SHINGLE - 1 :].tolist()
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8").astype(np.uint32)
-    return np.unique(np.concatenate([sketch, hashes]))[:SKETCH]
+def bucket_pairs(key: np.ndarray, tid: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, reach: int | None) -> Iterator[np.ndarray]:
+    """Pairs a < b that may have the similarity, of rows sorted by key and n, no further apart than reach and of different roots."""
+    n, pos, at, shift = n.astype(np.int64), pos.astype(np.int64), np.arange(len(key)), 0
+    while len(at) and (reach is None or shift < reach):
+        shift += 1
+        at = at[at + shift < len(key)]
+        to = at + shift
+        # rows behind are longer still: what is too short for this one is too short for them
+        near = (key[at] == key[to]) & (_Q * n[at] >= _P * n[to])
+        at, to = at[near], to[near]
+        # of the first shingle that two texts share on, they share no more than what either has left
+        good = (root[at] != root[to]) & ((_P + _Q) * np.minimum(n[at] - pos[at], n[to] - pos[to]) >= _P * (n[at] + n[to]))
+        if good.any():
+            a, b = tid[at[good]], tid[to[good]]
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+
+def _candidates(buckets: DataFrame, roots: DataFrame | None, reach: int | None) -> DataFrame:
+    """a, b: the distinct pairs of a round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _runs(batches):
+            for pairs in bucket_pairs(*cols, reach):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
+    root = F.col("tid")
+    if roots is not None:
+        buckets, root = buckets.join(roots, F.col("tid") == F.col("node"), "left"), F.coalesce("root", "tid")
+        buckets = buckets.withColumn("root", root)
+        # a bucket of one root has no pair left
+        open_keys = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        buckets, root = buckets.join(open_keys, "key", "left_semi"), F.col("root")
+    rows = buckets.select("key", "tid", "n", "pos", root.alias("root"))
+    return rows.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(run, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, data: DataFrame) -> DataFrame:
+    """The pairs a, b whose whole shingle sets have the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [_near_shingles(x.as_py())[1] for x in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(sets, pa.list_(pa.int64()))], ["tid", "shingles"])
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """An independent hash of each hash."""
-    h = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    wanted = texts.join(ends, F.col("tid") == F.col("t")).select("tid", F.col("first.rid").alias("r"))
+    sets = stash(data.join(wanted, F.col("rid") == F.col("r")).select("tid", "data").mapInArrow(run, "tid long, shingles array<long>"), "shingles")
+    sides = [sets.select(F.col("tid").alias(f"{e}_tid"), F.col("shingles").alias(f"{e}_set")) for e in ("a", "b")]
+    both = pairs.join(sides[0], F.col("a") == F.col("a_tid")).join(sides[1], F.col("b") == F.col("b_tid"))
+    return both.where(F.expr(f"{_P + _Q} * size(array_intersect(a_set, b_set)) >= {_P} * (size(a_set) + size(b_set))")).select("a", "b")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, text) of which one stays for each group of near copies; all columns stay.
 
-    Texts are linked if one of NEAR_SETS SimHash fingerprints of their word sets differs in MAX_BITS bits at most
-    and their 5-word shingles have a Jaccard similarity of 0.8 or more (on the sketch); texts with the same
+    Texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; texts with the same
     lower-case words are one. Groups are connected by links. The row with the smallest doc_id stays (nulls last),
     of repeated rows the first. Texts without words (null, empty) are equal to each other.
+
+    Every link is found or implied: in one order of all shingles, similar texts share one of the first fifth, so each
+    pair meets in a bucket. Pairs are tested on the whole sets, and only texts joined by tested links are spared each
+    other. Rounds test neighbours by length first, so that a cloud of near copies is joined before all its pairs are made.
     """
+    rows = with_row_id(docs, "near_rid")
+    data = rows.select(F.col("near_rid").alias("rid"), F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data"))
+    common, often = _common_shingles(data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [_near_features(x.as_py()) for x in batch.column("data")]
-            cols = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *cols], ["rid", "doc_id", "tid", "fps", "sketch"])
+            found = [_near_shingles(x.as_py()) for x in batch.column("data")]
+            prefixes = [_prefix(h, common, often) for _, h in found]
+            cols = [pa.array([t for t, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *cols], ["rid", "doc_id", "tid", "n", "prefix"])
 
-    rows = with_row_id(docs, "near_rid")
-    data = rows.select(F.col("near_rid").alias("rid"), F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data"))
-    feats = stash(data.mapInArrow(run, "rid long, doc_id long, tid long, fps array<long>, sketch array<int>"), "features")
+    feats = stash(data.mapInArrow(run, "rid long, doc_id long, tid long, n int, prefix array<long>"), "features")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    texts = stash(feats.groupBy("tid").agg(F.min(order).alias("first"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")), "texts")
-
-    marks = texts.select("tid", F.posexplode("fps").alias("set", "fp"))
-    reps = stash(marks.groupBy("set", "fp").agg(F.min("tid").alias("rep"), F.count(F.lit(1)).alias("c")), "reps")
-    same = marks.join(reps.where("c > 1").select(F.col("set").alias("s"), F.col("fp").alias("f"), "rep"), F.expr("set = s AND fp = f")).where("tid <> rep")
-    linked = stash(links(reps.select("set", "fp")), "links")
-    for end in ("a", "b"):
-        named = reps.select(F.col("set").alias("s"), F.col("fp").alias("f"), F.col("rep").alias(f"{end}_tid"))
-        linked = linked.join(named, (F.col("set") == F.col("s")) & (F.col(end) == F.col("f"))).drop("s", "f")
-    pairs = linked.select(F.least("a_tid", "b_tid").alias("a"), F.greatest("a_tid", "b_tid").alias("b")).unionByName(
-        same.select(F.least("tid", "rep").alias("a"), F.greatest("tid", "rep").alias("b"))
-    )
-    sketches = [texts.select(F.col("tid").alias(f"{e}_tid"), F.col("sketch").alias(f"{e}_sketch")) for e in ("a", "b")]
-    both = stash(pairs.distinct(), "pairs").join(sketches[0], F.col("a") == F.col("a_tid")).join(sketches[1], F.col("b") == F.col("b_tid"))
-    # the smallest hashes of the union, as unsigned numbers, and how many of them both texts have
-    shift = "transform({x}, h -> CAST(h AS BIGINT) & 4294967295L)"
-    joined = f"array_sort({shift.format(x='array_union(a_sketch, b_sketch)')})"
-    union = f"slice({joined}, 1, greatest(1, least({SKETCH}, size({joined}))))"
-    shared = f"size(array_intersect({shift.format(x='array_intersect(a_sketch, b_sketch)')}, {union}))"
-    edges = both.where(F.expr(f"{shared} >= {NEAR_SIMILARITY} * size({union}) AND size({joined}) > 0")).select("a", "b")
-
-    roots = stash(components(edges), "roots").withColumnRenamed("root", "r")
-    member = stash(texts.join(roots, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("r", "tid").alias("root")), "members")
+    texts = stash(feats.groupBy("tid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    buckets = _buckets(texts)
+    edges = roots = None
+    for reach in REACH:
+        pairs = stash(_candidates(buckets, roots, reach), "pairs")
+        if edges is not None and pairs.isEmpty():
+            continue
+        found = stash(_similar(pairs, texts, data), "similar")
+        edges = found if edges is None else edges.unionByName(found)
+        roots = stash(components(edges), "roots")
+
+    named = roots.withColumnRenamed("root", "r")
+    member = stash(texts.join(named, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("r", "tid").alias("root")), "members")
     kept = member.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.rid").alias("kept_rid"))
     return rows.join(kept, F.col("near_rid") == F.col("kept_rid"), "left_semi").select(*docs.columns)
 
