@@ -330,6 +330,16 @@ def test_line_dedup(spark, odd_docs, no_docs):
     assert line_dedup.dedup_lines(odd_docs).count() == odd_docs.count() and line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_finds_short_runs_and_those_around_earlier_ones(spark):
+    docs = []
+    for k in range(20):
+        p, q, r, s = (f"{x} {k}" for x in "pqrs")
+        docs += [(4 * k, f"a {k}\n{q}\n{r}\nb {k}"), (4 * k + 1, f"{p}\n{q}\n{r}\n{s}"), (4 * k + 2, f"c {k}\n{p}\n{q}\n{r}\n{s}\nd {k}"), (4 * k + 3, f"e {k}\n{r}\n{s}\nf {k}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k in range(20):
+        assert [got[4 * k + j] for j in range(4)] == [docs[4 * k][1], f"p {k}\ns {k}", f"c {k}\nd {k}", f"e {k}\nf {k}"]
+
+
 def test_line_dedup_is_native(odd_docs):
     plan = line_dedup.dedup_lines(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -2,7 +2,9 @@
 
 A document's lines without blanks give a sequence of hashes; each GRAM of successive hashes gives a gram hash. Of
 each WINDOW successive grams the one with the smallest hash is a fingerprint, so two runs of GRAM + WINDOW - 1
-equal lines always share one. A line of PASSAGE_WORDS words or more is a fingerprint by itself. Equal
+equal lines always share one. WINDOW is 1: every gram is a fingerprint and meets its own first place, so all lines of a
+repeated run go, also where an inner part of it stands earlier elsewhere; with a larger window such a part hides the
+rest. A line of PASSAGE_WORDS words or more is a fingerprint by itself. Equal
 fingerprints join every place with the first one in (doc_id, row, line) order, the match is extended both ways
 along the two line sequences, and the lines of the later run go.
 
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 
 from .common import SPACE, WORD, load, stash, text_or_empty, with_row_id
 
-GRAM, WINDOW, PASSAGE_WORDS = 2, 2, 50
+GRAM, WINDOW, PASSAGE_WORDS = 2, 1, 50
 
 
 def line_hashes(rows: DataFrame) -> DataFrame:
