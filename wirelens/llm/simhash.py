@@ -8,7 +8,7 @@ one bit masked out (the one that may differ). In a bucket the chain is followed
 pairs that pass get the full Hamming check.
 
 Scale: each distinct fingerprint makes 4 rows of two longs, or up to 64 at depth two, where a key has 31 bits.
-A task keeps a forest of the links it has seen, so a cloud of n alike fingerprints gives n - 1 links, not n * n.
+A task keeps a bounded forest of the links it has seen, so a cloud of n alike fingerprints gives about n links, not n * n.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sliced, stash, text_or_empty, with_row_id
+from .common import free_name, load, rows_in, sliced, stash, text_or_empty, with_row_id
 from .components import components
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
@@ -115,9 +115,9 @@ def chain_links(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
     return at[np.bitwise_count(x[at] ^ y[at]) <= MAX_BITS]
 
 
-def _links_in_run(x: np.ndarray) -> Iterator[tuple[int, int]]:
+def _links_in_run(x: np.ndarray, ring: int) -> Iterator[tuple[int, int]]:
     """Links that connect what is connected within many fingerprints of one bucket, without trying all pairs: first
-    neighbours at one bit (equal after masking it), then what is outside the largest piece against all."""
+    neighbours at one bit (equal after masking it), then the chains of what is outside the largest piece with all."""
     forest = Forest()
     for bit in range(64):
         masked = x & ~(np.uint64(1) << np.uint64(bit))
@@ -128,9 +128,9 @@ def _links_in_run(x: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield a, b
     roots = np.array([forest.find(v) for v in x.tolist()], np.uint64)
     names, sizes = np.unique(roots, return_counts=True)
+    first = np.full(len(x), ring)
     for v in x[roots != names[sizes.argmax()]].tolist():
-        near = x[np.bitwise_count(x ^ np.uint64(v)) <= MAX_BITS]
-        for u in near.tolist():
+        for u in x[chain_links(x, np.full(len(x), v, np.uint64), first)].tolist():
             if u != v and forest.add(u, v):
                 yield u, v
 
@@ -141,7 +141,7 @@ def bucket_links(keys: np.ndarray, x: np.ndarray, forest: Forest) -> list[tuple[
     bounds = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     length = np.diff(bounds)
     for s, n in zip(bounds[:-1][length > LARGE_BUCKET], length[length > LARGE_BUCKET]):
-        links += [p for p in _links_in_run(x[s : s + n]) if forest.add(*p)]
+        links += [p for p in _links_in_run(x[s : s + n], int(keys[s] & 3)) if forest.add(*p)]
     run = np.repeat(length, length)
     at, shift = np.flatnonzero((run > 1) & (run <= LARGE_BUCKET)), 0
     while len(at):
@@ -184,6 +184,8 @@ def links(fps: DataFrame) -> DataFrame:
     return numbered.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "set int, a long, b long")
 
 
+#: Fingerprints that a task's forest remembers.
+MOST_LINKED = 200_000
 #: A key has below this bit: ring position, masked bit, equal segment, next segment.
 SET_BIT = 40
 
@@ -191,7 +193,10 @@ SET_BIT = 40
 def _edges(keys: np.ndarray, x: np.ndarray, forests: dict[int, Forest]) -> Iterator[pa.RecordBatch]:
     for k in np.unique(keys >> SET_BIT).tolist():
         part = slice(*np.searchsorted(keys, [k << SET_BIT, (k + 1) << SET_BIT]))
-        found = bucket_links(keys[part], x[part], forests.setdefault(k, Forest()))
+        forest = forests.setdefault(k, Forest())
+        if len(forest.up) > MOST_LINKED:
+            forest.up.clear()  # some links come twice then
+        found = bucket_links(keys[part], x[part], forest)
         table = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         cols = [np.full(len(table), k, np.int32), table[:, 0].copy(), table[:, 1].copy()]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["set", "a", "b"])
@@ -226,16 +231,17 @@ _P, _Q = Fraction(str(NEAR_SIMILARITY)).as_integer_ratio()
 #: Texts that are sampled for the shingles that many texts have, and how many of those put a shingle last in the order.
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 10_000, 4, 100_000
 #: How far apart in a bucket texts are compared, round by round; None is every pair not joined by then.
-REACH = (8, 64, None)
+REACH = (8, None)
+#: Bits of a text's signature for each of its shingles.
+SIGNATURE_BITS = 4
 
 
-def _near_shingles(data: bytes) -> tuple[int, np.ndarray]:
-    """Hash of the word sequence, and the sorted distinct hashes of the 5-word shingles (of all words if there are fewer)."""
-    whole, digest = xxhash.xxh64(seed=SEED), xxhash.xxh64_digest
+def _shingle_set(data: bytes) -> np.ndarray:
+    """The sorted distinct hashes of the 5-word shingles; of all words if there are fewer."""
+    digest = xxhash.xxh64_digest
     found: list[np.ndarray] = []
     tail: list[bytes] = []
     for words in word_pieces(data.translate(_LOWER)):
-        whole.update(b" ".join(words) + b" ")
         tail += words
         if len(tail) < NEAR_SHINGLE:
             continue
@@ -246,8 +252,13 @@ def _near_shingles(data: bytes) -> tuple[int, np.ndarray]:
         tail = tail[len(tail) - NEAR_SHINGLE + 1 :]
     if not found and tail:
         found.append(np.frombuffer(digest(b" ".join(tail), SEED), ">i8"))
-    hashes = np.unique(np.concatenate(found).astype(np.int64)) if found else np.empty(0, np.int64)
-    return int.from_bytes(whole.digest(), "big", signed=True), hashes
+    return np.unique(np.concatenate(found).astype(np.int64)) if found else np.empty(0, np.int64)
+
+
+def _set_fingerprint(hashes: np.ndarray) -> int:
+    """The majority fingerprint of a shingle set, as a signed long."""
+    bits = 2 * _count_bits(hashes.astype(">i8").tobytes()) > len(hashes) if len(hashes) else np.zeros(64, bool)
+    return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
 def _prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
@@ -261,20 +272,74 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.nda
     return hashes[np.lexsort((hashes, rank))[: n - -(-_P * n // _Q) + 1]] if n else hashes
 
 
-def _common_shingles(data: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def signature(hashes: np.ndarray) -> bytes:
+    """A bit map of SIGNATURE_BITS bits a shingle, rounded up to a power of two, with the bits set that the hashes name."""
+    bits = max(8, 1 << max(0, SIGNATURE_BITS * len(hashes) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[hashes & (bits - 1)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, n_a: int, b: bytes, n_b: int) -> bool:
+    """Whether the signatures leave the similarity possible. A bit that only one text has stands for one shingle or more
+    that only it has, so this is false for no pair that is similar."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    shared = min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return (_P + _Q) * shared >= _P * (n_a + n_b)
+
+
+def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of several texts of a sample, sorted, and how many have them. Only the order of shingles depends on them, no result does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             for x in batch.column("data"):
-                yield pa.RecordBatch.from_arrays([pa.array(_near_shingles(x.as_py())[1])], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x.as_py()))], ["h"])
 
-    parts = -(-data.count() // SAMPLE_TEXTS)
-    counts = data.where(F.pmod(F.xxhash64("data"), F.lit(max(parts, 1))) == 0).select("data").mapInArrow(run, "h long").groupBy("h").count()
+    parts = -(-rows.count() // SAMPLE_TEXTS)
+    counts = rows.where(F.pmod(F.xxhash64("data"), F.lit(max(parts, 1))) == 0).select("data").mapInArrow(run, "h long").groupBy("h").count()
     top = counts.where(F.col("count") >= COMMON_TEXTS).orderBy(F.desc("count"), "h").limit(MOST_COMMON).orderBy("h").collect()
     return np.array([r["h"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
 
+def _distinct_texts(data: DataFrame) -> DataFrame:
+    """rid, same: each row's number and that of the first row with its sequence of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            names = []
+            for x in batch.column("data"):
+                whole = xxhash.xxh3_128(seed=SEED)
+                for words in word_pieces(x.as_py().translate(_LOWER)):
+                    whole.update(b" ".join(words) + b" ")
+                names.append(whole.digest())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("none"), batch.column("doc_id"), pa.array(names, pa.binary())], ["rid", "none", "doc_id", "name"])
+
+    named = stash(data.select("rid", F.col("doc_id").isNull().alias("none"), "doc_id", "data").mapInArrow(run, "rid long, none boolean, doc_id long, name binary"), "named")
+    first = named.groupBy("name").agg(F.min(F.struct("none", "doc_id", "rid")).alias("first"))
+    return stash(named.join(first.withColumnRenamed("name", "n"), F.col("name") == F.col("n")).select("rid", "none", "doc_id", F.col("first.rid").alias("same")), "same")
+
+
+def _features(data: DataFrame) -> DataFrame:
+    """tid, n, fp, signature, prefix of each text of data(rid, data)."""
+    common, often = _common_shingles(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            sets = [_shingle_set(x.as_py()) for x in batch.column("data")]
+            cols = [
+                pa.array(map(len, sets), pa.int32()), pa.array(map(_set_fingerprint, sets), pa.int64()), pa.array(map(signature, sets), pa.binary()),
+                pa.array([_prefix(h, common, often) for h in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), *cols], ["tid", "n", "fp", "signature", "prefix"])
+
+    return stash(data.mapInArrow(run, "tid long, n int, fp long, signature binary, prefix array<long>"), "features")
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of rows sorted by their first column, cut where it changes."""
     held: list[np.ndarray] = []
@@ -293,12 +358,25 @@ def _buckets(texts: DataFrame) -> DataFrame:
     """key, tid, n, pos: the prefix shingles that more than one text has, with the text's count of shingles and the place in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols in _runs(batches):
+        held: list[np.ndarray] | None = None  # the last row, which the next may equal, and the key before it
+        before: int | None = None
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns]
+            if held:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
             same = cols[0][1:] == cols[0][:-1]
-            keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "tid", "n", "pos"])
-
-    rows = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "tid", "n", "pos")
+            keep = np.concatenate(([before == cols[0][0]], same))
+            keep[:-1] |= same
+            before = int(cols[0][-2]) if len(cols[0]) > 1 else before
+            held = [c[-1:] for c in cols]
+            yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep[:-1]]) for c in cols], names)
+        if held and before == held[0][0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+    names = ["key", "tid", "n", "pos"]
+    rows = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "key")).select(*names)
     return stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, tid long, n int, pos int"), "buckets")
 
 
@@ -319,7 +397,17 @@ def bucket_pairs(key: np.ndarray, tid: np.ndarray, n: np.ndarray, pos: np.ndarra
             yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
 
-def _candidates(buckets: DataFrame, roots: DataFrame | None, reach: int | None) -> DataFrame:
+def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """a, b: texts whose fingerprints link by pigeonring, and texts of one fingerprint with its first."""
+    first = stash(texts.groupBy("fp").agg(F.min("tid").alias("tid")), "fingerprints")
+    linked = links(first.select(F.lit(0).alias("set"), "fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    side = lambda e: first.select(F.col("fp").alias(f"f{e}_"), F.col("tid").alias(e))
+    across = linked.join(side("a"), F.col("fa") == F.col("fa_")).join(side("b"), F.col("fb") == F.col("fb_")).select("a", "b")
+    within = texts.select("tid", "fp").join(side("a"), F.col("fp") == F.col("fa_")).where("a <> tid").select("a", F.col("tid").alias("b"))
+    return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _candidates(buckets: DataFrame, roots: DataFrame, reach: int | None) -> DataFrame:
     """a, b: the distinct pairs of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,28 +415,36 @@ def _candidates(buckets: DataFrame, roots: DataFrame | None, reach: int | None)
             for pairs in bucket_pairs(*cols, reach):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
-    root = F.col("tid")
-    if roots is not None:
-        buckets, root = buckets.join(roots, F.col("tid") == F.col("node"), "left"), F.coalesce("root", "tid")
-        buckets = buckets.withColumn("root", root)
-        # a bucket of one root has no pair left
-        open_keys = buckets.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        buckets, root = buckets.join(open_keys, "key", "left_semi"), F.col("root")
-    rows = buckets.select("key", "tid", "n", "pos", root.alias("root"))
+    rooted = buckets.join(roots, F.col("tid") == F.col("node"), "left").select("key", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"))
+    # a bucket of one root has no pair left
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rows = rooted.join(open_keys, "key", "left_semi")
     return rows.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(run, "a long, b long").distinct()
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, data: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs a, b whose signatures leave the similarity possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1024):
+            cols = [batch.column(c).to_pylist() for c in ("a_sig", "a_n", "b_sig", "b_n")]
+            yield batch.select(["a", "b"]).filter(pa.array(map(may_be_similar, *cols), pa.bool_()))
+
+    for e in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("tid").alias(f"{e}_tid"), F.col("signature").alias(f"{e}_sig"), F.col("n").alias(f"{e}_n")), F.col(e) == F.col(f"{e}_tid"))
+    return stash(pairs.select("a", "b", "a_sig", "a_n", "b_sig", "b_n").mapInArrow(run, "a long, b long"), "possible")
+
+
+def _similar(pairs: DataFrame, data: DataFrame) -> DataFrame:
     """The pairs a, b whose whole shingle sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            sets = [_near_shingles(x.as_py())[1] for x in batch.column("data")]
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(sets, pa.list_(pa.int64()))], ["tid", "shingles"])
+            sets = [_shingle_set(x.as_py()) for x in batch.column("data")]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["tid", "shingles"])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    wanted = texts.join(ends, F.col("tid") == F.col("t")).select("tid", F.col("first.rid").alias("r"))
-    sets = stash(data.join(wanted, F.col("rid") == F.col("r")).select("tid", "data").mapInArrow(run, "tid long, shingles array<long>"), "shingles")
+    wanted = rows_in(data, "rid", pairs.select(F.explode(F.array("a", "b")).alias("rid")))
+    sets = stash(wanted.select("rid", "data").mapInArrow(run, "tid long, shingles array<long>"), "shingles")
     sides = [sets.select(F.col("tid").alias(f"{e}_tid"), F.col("shingles").alias(f"{e}_set")) for e in ("a", "b")]
     both = pairs.join(sides[0], F.col("a") == F.col("a_tid")).join(sides[1], F.col("b") == F.col("b_tid"))
     return both.where(F.expr(f"{_P + _Q} * size(array_intersect(a_set, b_set)) >= {_P} * (size(a_set) + size(b_set))")).select("a", "b")
@@ -359,40 +455,31 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; texts with the same
     lower-case words are one. Groups are connected by links. The row with the smallest doc_id stays (nulls last),
-    of repeated rows the first. Texts without words (null, empty) are equal to each other.
+    of repeated rows the first. Texts without words (null, empty) are equal to each other. An empty table gives none.
 
-    Every link is found or implied: in one order of all shingles, similar texts share one of the first fifth, so each
-    pair meets in a bucket. Pairs are tested on the whole sets, and only texts joined by tested links are spared each
-    other. Rounds test neighbours by length first, so that a cloud of near copies is joined before all its pairs are made.
+    SimHash joins most near copies: texts whose fingerprints link are tested. No 64-bit fingerprint finds every pair of
+    similarity 0.8, so the rest is found exactly: in one order of all shingles, similar texts share one of the first
+    fifth, so each pair meets in a bucket; only texts already joined by tested links are spared each other. A round
+    tests neighbours by length first, so that a cloud of near copies is joined before all its pairs are made. Pairs are
+    tested by signatures, which reject none that is similar, then on the whole sets.
     """
-    rows = with_row_id(docs, "near_rid")
-    data = rows.select(F.col("near_rid").alias("rid"), F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data"))
-    common, often = _common_shingles(data)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            found = [_near_shingles(x.as_py()) for x in batch.column("data")]
-            prefixes = [_prefix(h, common, often) for _, h in found]
-            cols = [pa.array([t for t, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id").cast(pa.int64()), *cols], ["rid", "doc_id", "tid", "n", "prefix"])
-
-    feats = stash(data.mapInArrow(run, "rid long, doc_id long, tid long, n int, prefix array<long>"), "features")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    texts = stash(feats.groupBy("tid").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    rid = free_name(docs, "near_rid")
+    rows = with_row_id(docs, rid)
+    data = rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    same = _distinct_texts(data)
+    data = rows_in(data, "rid", same.where("rid = same").select("rid"))
+    texts = _features(data.select("rid", "data"))
+
+    edges = stash(_similar(_possible(_fingerprint_pairs(texts), texts), data), "similar")
     buckets = _buckets(texts)
-    edges = roots = None
     for reach in REACH:
-        pairs = stash(_candidates(buckets, roots, reach), "pairs")
-        if edges is not None and pairs.isEmpty():
-            continue
-        found = stash(_similar(pairs, texts, data), "similar")
-        edges = found if edges is None else edges.unionByName(found)
-        roots = stash(components(edges), "roots")
-
-    named = roots.withColumnRenamed("root", "r")
-    member = stash(texts.join(named, F.col("tid") == F.col("node"), "left").select("tid", "first", F.coalesce("r", "tid").alias("root")), "members")
-    kept = member.groupBy("root").agg(F.min("first").alias("kept")).select(F.col("kept.rid").alias("kept_rid"))
-    return rows.join(kept, F.col("near_rid") == F.col("kept_rid"), "left_semi").select(*docs.columns)
+        pairs = stash(_candidates(buckets, components(edges), reach), "pairs")
+        edges = stash(edges.unionByName(_similar(_possible(pairs, texts), data)), "similar")
+
+    member = same.join(components(edges), F.col("same") == F.col("node"), "left").select("rid", "none", "doc_id", F.coalesce("root", "same").alias("group"))
+    member = stash(member, "members")
+    kept = member.groupBy("group").agg(F.min(F.struct("none", "doc_id", "rid")).alias("kept")).select("kept.rid")
+    return rows_in(rows, rid, kept).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
