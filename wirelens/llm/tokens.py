@@ -15,8 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, shared_folder, sliced, text_or_empty, with_row_id
+from .common import load, shared_folder, sliced, text_or_empty, with_row_id, worker_copy
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Characters of a text that are split into words at a time; words that a task remembers.
-PIECE, MOST_WORDS = 1 << 20, 500_000
+PIECE, MOST_WORDS = 1 << 20, 150_000
 #: Distinct words of letters encoded together.
 JOINED = 4096
 BLOCKS = "part int, block int, first_id long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
@@ -129,12 +129,16 @@ class WordEncoder:
             self._store(np.diff(last, prepend=-1), ids)
 
     def _learn(self, words: list[str]) -> None:
-        """Words apart from case and closing punctuation share the encoding of their letters."""
+        """Words apart from case and closing punctuation share the encoding of their letters.
+
+        The case is lowered first: a letter such as U+0130 becomes a letter and a mark, which the tokenizer keeps with
+        the punctuation behind it.
+        """
         at, letters, others, changed = self.at, {}, {}, []
         for w in words:
-            bare = w.rstrip(".,;:!?|")
-            if bare.isalpha() and (bare.isascii() or max(bare) < "\u0180"):
-                low = bare.lower()
+            bare = w.rstrip(punctuation)
+            low = bare.lower() if bare.isascii() or max(bare) < "\u0180" else ""
+            if low.isalpha():
                 if low not in at:
                     letters[low] = None
                 if low != w:
@@ -195,12 +199,6 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _BEYOND_LATIN = re.compile("[\u0180-\U0010ffff]")
 
 
-@lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    """A worker keeps its encoder, with MOST_WORDS words at most, for its next task."""
-    return WordEncoder(path)
-
-
 def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode docs(doc_id, text) in ascending doc_id order (nulls first) and write the blocks to path.
 
@@ -210,7 +208,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
     width = width_for(max(vocabulary, end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = worker_copy(WordEncoder, tokenizer_path), TaskContext.get().partitionId()
         block = first = held = 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
