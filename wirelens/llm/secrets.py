@@ -2,7 +2,7 @@
 
 One pass of an Aho-Corasick automaton over the ASCII-lowered text finds every keyword. Only there is the kind's
 pattern tried, anchored at the keyword. Kinds whose tokens carry a check value (CRC-32 in base 62, a decodable
-header) are kept only if it holds. Runs of hexadecimal digits have no keyword and are found by their own pattern.
+header) are kept only if it holds; the public formats of slack, google and pem have none, so their form decides. Runs of hexadecimal digits have no keyword and are found by their own pattern.
 A projection: no shuffle.
 """
 
@@ -32,6 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+JWT_RUN = re.compile(r"(?:eyJ)?[A-Za-z0-9_-]*")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 SLACK = re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")
 GOOGLE = re.compile(r"AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")
@@ -96,10 +97,14 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
         _, pattern, holds = KINDS[kind]
         free = 0
         for start in sorted(starts):
-            if start >= free and (m := pattern.match(text, start)):
+            if start < free:
+                continue
+            if m := pattern.match(text, start):
                 free = m.end()
                 if holds(m):
                     found.append((start, free, kind))
+            elif kind == "jwt":
+                free = JWT_RUN.match(text, start).end()  # what follows the run decides for every start in it
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]]))
 
 
@@ -109,7 +114,9 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs(doc_id, text): counts of the base kinds, their digest, and all spans.
 
-    Null text counts as empty: no spans, the digest of the empty string. Other columns are ignored.
+    Null text counts as empty: no spans, the digest of the empty string. Texts of any length are scanned whole, in
+    linear time. Repeated rows each get their row, an empty table gives none; spans of different kinds may overlap, and those
+    that start together are in the order of kinds. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
