@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sliced, text_or_empty, worker_copy
+from .common import load, map_batches, sliced, text_or_empty, worker_copy
 
 SEED_TOKENS, MIN_COVERAGE = 4, 0.6
 BLOCK_BYTES = 4 << 20
@@ -203,7 +203,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int = SEED_
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "item_id", "coverage", "tiles", "marked"])
 
-        return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, schema)
+        return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, schema)
 
     schema = "doc_id long, item_id long, coverage double, tiles int, marked int"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -221,7 +221,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int =
             for batch in sliced(batches):
                 yield batch.filter(pa.array([not index.matches(x or "", min_coverage) for x in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_batches(docs, run, docs.schema)
     return docs
 
 

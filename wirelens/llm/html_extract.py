@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, sliced, stash
+from .common import load, map_batches, sliced, stash
 
 #: Pages with different texts that a host needs for a template; and that a class must occur in.
 LEAST_PAGES = 5
@@ -252,7 +252,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
-    rows = rows.mapInArrow(run, f"host string, page long, body long, total long, toks {toks}")
+    rows = map_batches(rows, run, f"host string, page long, body long, total long, toks {toks}")
     first = rows.groupBy("host", "body").agg(F.min_by(F.struct("page", "total", "toks"), "page").alias("first"))
     return first.select("host", "first.*")
 
@@ -334,7 +334,7 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             arrays = [batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "containers", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_batches(joined.select("page_id", "url", "html", "containers", "texts"), run, "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

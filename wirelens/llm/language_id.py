@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sliced, text_or_empty, worker_copy
+from .common import load, map_batches, sliced, text_or_empty, worker_copy
 
 #: Bound of the labelled sample: characters a language.
 LANGUAGE_CHARS = 30_000
@@ -312,7 +312,7 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
             cols = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def keep_identified(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
@@ -328,7 +328,7 @@ def keep_identified(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame
             filled = pa.array([x if x is not None else f for x, f in zip(lang.to_pylist(), found)], lang.type)
             yield batch.set_column(at, batch.schema.field(at), filled).filter(pa.array([f != UNKNOWN for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, sliced, text_or_empty
+from .common import load, map_batches, sliced, text_or_empty
 
 BASE_KINDS = ("assign", "access", "hex")
 # The patterns of the contract, then public token formats.
@@ -131,7 +131,7 @@ def scan(docs: DataFrame) -> DataFrame:
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")), run, SCHEMA)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, load, rows_in, sliced, stash, text_or_empty, with_row_id
+from .common import free_name, load, map_batches, rows_in, sliced, stash, text_or_empty, with_row_id
 from .components import components
 
 SEED, MAX_BITS, SEGMENTS = 42, 3, 4
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("data"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return map_batches(rows, run, "doc_id long, fp long")
 
 
 class Forest:
@@ -181,7 +181,7 @@ def links(fps: DataFrame) -> DataFrame:
         yield from _edges(keys, x, forests)
 
     numbered = keyed.select(F.expr(f"key + shiftleft(set, {SET_BIT})").alias("key"), "fp")
-    return numbered.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "set int, a long, b long")
+    return map_batches(numbered.repartition("key").sortWithinPartitions("key", "fp"), run, "set int, a long, b long")
 
 
 #: Fingerprints that a task's forest remembers.
@@ -301,7 +301,7 @@ def _common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(_shingle_set(x.as_py()))], ["h"])
 
     parts = -(-rows.count() // SAMPLE_TEXTS)
-    counts = rows.where(F.pmod(F.xxhash64("data"), F.lit(max(parts, 1))) == 0).select("data").mapInArrow(run, "h long").groupBy("h").count()
+    counts = map_batches(rows.where(F.pmod(F.xxhash64("data"), F.lit(max(parts, 1))) == 0).select("data"), run, "h long").groupBy("h").count()
     top = counts.where(F.col("count") >= COMMON_TEXTS).orderBy(F.desc("count"), "h").limit(MOST_COMMON).orderBy("h").collect()
     return np.array([r["h"] for r in top], np.int64), np.array([r["count"] for r in top], np.int64)
 
@@ -319,7 +319,7 @@ def _distinct_texts(data: DataFrame) -> DataFrame:
                 names.append(whole.digest())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("none"), batch.column("doc_id"), pa.array(names, pa.binary())], ["rid", "none", "doc_id", "name"])
 
-    named = stash(data.select("rid", F.col("doc_id").isNull().alias("none"), "doc_id", "data").mapInArrow(run, "rid long, none boolean, doc_id long, name binary"), "named")
+    named = stash(map_batches(data.select("rid", F.col("doc_id").isNull().alias("none"), "doc_id", "data"), run, "rid long, none boolean, doc_id long, name binary"), "named")
     first = named.groupBy("name").agg(F.min(F.struct("none", "doc_id", "rid")).alias("first"))
     return stash(named.join(first.withColumnRenamed("name", "n"), F.col("name") == F.col("n")).select("rid", "none", "doc_id", F.col("first.rid").alias("same")), "same")
 
@@ -337,7 +337,7 @@ def _features(data: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("rid"), *cols], ["tid", "n", "fp", "signature", "prefix"])
 
-    return stash(data.mapInArrow(run, "tid long, n int, fp long, signature binary, prefix array<long>"), "features")
+    return stash(map_batches(data, run, "tid long, n int, fp long, signature binary, prefix array<long>"), "features")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -377,7 +377,7 @@ def _buckets(texts: DataFrame) -> DataFrame:
 
     names = ["key", "tid", "n", "pos"]
     rows = texts.select("tid", "n", F.posexplode("prefix").alias("pos", "key")).select(*names)
-    return stash(rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, tid long, n int, pos int"), "buckets")
+    return stash(map_batches(rows.repartition("key").sortWithinPartitions("key"), run, "key long, tid long, n int, pos int"), "buckets")
 
 
 def bucket_pairs(key: np.ndarray, tid: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, reach: int | None) -> Iterator[np.ndarray]:
@@ -419,7 +419,7 @@ def _candidates(buckets: DataFrame, roots: DataFrame, reach: int | None) -> Data
     # a bucket of one root has no pair left
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rows = rooted.join(open_keys, "key", "left_semi")
-    return rows.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(run, "a long, b long").distinct()
+    return map_batches(rows.repartition("key").sortWithinPartitions("key", "n", "tid"), run, "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -432,7 +432,7 @@ def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     for e in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("tid").alias(f"{e}_tid"), F.col("signature").alias(f"{e}_sig"), F.col("n").alias(f"{e}_n")), F.col(e) == F.col(f"{e}_tid"))
-    return stash(pairs.select("a", "b", "a_sig", "a_n", "b_sig", "b_n").mapInArrow(run, "a long, b long"), "possible")
+    return stash(map_batches(pairs.select("a", "b", "a_sig", "a_n", "b_sig", "b_n"), run, "a long, b long"), "possible")
 
 
 def _similar(pairs: DataFrame, data: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def _similar(pairs: DataFrame, data: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["tid", "shingles"])
 
     wanted = rows_in(data, "rid", pairs.select(F.explode(F.array("a", "b")).alias("rid")))
-    sets = stash(wanted.select("rid", "data").mapInArrow(run, "tid long, shingles array<long>"), "shingles")
+    sets = stash(map_batches(wanted.select("rid", "data"), run, "tid long, shingles array<long>"), "shingles")
     sides = [sets.select(F.col("tid").alias(f"{e}_tid"), F.col("shingles").alias(f"{e}_set")) for e in ("a", "b")]
     both = pairs.join(sides[0], F.col("a") == F.col("a_tid")).join(sides[1], F.col("b") == F.col("b_tid"))
     return both.where(F.expr(f"{_P + _Q} * size(array_intersect(a_set, b_set)) >= {_P} * (size(a_set) + size(b_set))")).select("a", "b")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, shared_folder, sliced, text_or_empty, with_row_id, worker_copy
+from .common import load, map_batches, shared_folder, sliced, text_or_empty, with_row_id, worker_copy
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -257,7 +257,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: in
 
     rows = with_row_id(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")))
     ordered = rows.repartitionByRange("doc_id", "rid").sortWithinPartitions("doc_id", "rid")
-    ordered.select("doc_id", "text").mapInArrow(run, BLOCKS).write.parquet(path)
+    map_batches(ordered.select("doc_id", "text"), run, BLOCKS).write.parquet(path)
 
 
 _BLOCK_TYPES = pa.schema(
@@ -288,7 +288,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     blocks = read_blocks(spark, path).select("n_ids", "width", "offset", "doc_ids", "ends", "payload")
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(blocks, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def default_tokenizer() -> tuple[str, int]:
