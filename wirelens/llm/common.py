@@ -49,15 +49,15 @@ def stash(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of rows that go to or come from a Python worker together, where the session keeps Spark's 64 MB.
+#: Bytes of rows that go to a Python worker together, in a session that sets no other bound.
 BATCH_BYTES = 4 << 20
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of bounded bytes, as texts may be long: a task holds each batch several times,
-    in Spark, on the way and in Python. A session that sets a bound of its own keeps it."""
+    in Spark, on the way and in Python. A session with a bound of its own keeps it."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, "").lower().rstrip("b") in ("", "-1", str(64 << 20)):
+    if conf.get(name, None) is None:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
