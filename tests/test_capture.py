@@ -148,6 +148,69 @@ def test_retransmission_and_midstream(spark, tmp_path):
     assert not s.handshake and len(s.c2s) > 0
 
 
+@pytest.mark.parametrize(
+    "framing, body, want, rest",
+    [
+        (b"Transfer-Encoding: chunked", b"3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n", b"abcde", True),
+        (b"Transfer-Encoding: chunked", b"0\r\n\r\n", b"", True),
+        (b"Transfer-Encoding: chunked", b"-6\r\nabcdef\r\n0\r\n\r\n", b"", False),
+        (b"Transfer-Encoding: chunked", b"+5\r\nabcde\r\n0\r\n\r\n", b"", False),
+        (b"Transfer-Encoding: chunked", b"\xb2\r\nab\r\n", b"", False),
+        (b"Transfer-Encoding: chunked", b"ffffffffffffff\r\nab", b"ab", False),
+        (b"Content-Length: 3", b"abc", b"abc", True),
+        (b"Content-Length: \xb2", b"", b"", True),
+        (b"Content-Length: -6", b"", b"", True),
+        (b"Content-Length: +3", b"", b"", True),
+        (b"Content-Length: 99999999999999999999999", b"", b"", True),
+        (b"Content-Length:", b"", b"", True),
+        (b"X: 1", b"", b"", True),
+    ],
+)
+def test_http_framing(framing, body, want, rest):
+    second = b"GET /two HTTP/1.1\r\nHost: b\r\n\r\n"
+    data = b"POST /one HTTP/1.1\r\n" + framing + b"\r\n folded: no\r\n\r\n" + body + second
+    found = list(app.Direction(data, app.REQUEST, bare_body=False))
+    assert found[0][2].removesuffix(b"" if rest else second) == want and len(found) == 1 + rest
+    answers = list(app.Direction(b"HTTP/1.1 200 OK\r\n\r\nall that follows", app.RESPONSE, bare_body=True))
+    assert [a[2] for a in answers] == [b"all that follows"]
+
+
+def test_hostile_sizes_reach_the_table(spark, tmp_path):
+    answer = b"HTTP/1.1 200 OK\r\nContent-Length: \xb2\r\n\r\n"
+    frames = fr.conversation(b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", answer)
+    frames += fr.conversation(b"USER bob\r\nPASS pw\r\n", b"+OK\r\n", cport=45010, port=110, t=fr.BASE + 9)
+    a = Analysis(spark, save(tmp_path, fr.pcap(frames)))
+    assert one(a.http).resp_content_length == -1
+    assert one(a.credentials).detail == "+OK"
+    a.close()
+
+
+def test_tcp_header_length(spark, tmp_path):
+    whole = fr.tcp("10.0.0.5", 1, "10.0.0.6", 2, "PA", payload=b"xy")
+    frames = [whole, whole[:46] + b"\x40" + whole[47:], whole[:46] + b"\xf0" + whole[47:]]
+    rows = read_packets(spark, save(tmp_path, fr.pcap([(fr.BASE, f) for f in frames]))).orderBy("frame").collect()
+    assert [(r.proto, r.payload_len) for r in rows] == [("tcp", 2), ("other", 0), ("other", 0)]
+
+
+def test_two_captures_stay_apart(spark, tmp_path):
+    one_way = [(fr.BASE + k, fr.tcp("10.0.0.5", 1000, "10.0.0.6", 80, "S", seq=5)) for k in range(3)]
+    answered = [(fr.BASE, fr.tcp("10.0.0.6", 80, "10.0.0.5", 1000, "SA", seq=9)), (fr.BASE + 1, fr.tcp("10.0.0.5", 1000, "10.0.0.6", 80, "A", seq=6))]
+    save(tmp_path, fr.pcap(one_way), "a.pcap")
+    save(tmp_path, fr.pcap(answered), "b.pcap")
+    a = Analysis(spark, str(tmp_path / "*.pcap"))
+    flows = {(r.file[-6:], r.src): r for r in a.flows.collect()}
+    assert len(flows) == 3 and not flows["a.pcap", "10.0.0.5"].ack_of_syn and flows["a.pcap", "10.0.0.5"].packets == 3
+    assert {(r.file[-6:], r.a) for r in a.conversations.collect()} == {("a.pcap", "10.0.0.5"), ("b.pcap", "10.0.0.6")}
+    a.close()
+    mail = fr.conversation(b"GET /x.exe HTTP/1.1\r\nHost: a\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Type: application/octet-stream\r\nContent-Length: 4\r\n\r\nMZ\x90\0")
+    for n in ("c", "d"):
+        save(tmp_path, fr.pcap(mail), f"{n}.cap")
+    b = Analysis(spark, str(tmp_path / "*.cap"))
+    written = extract.write_artifacts(b.artifacts, str(tmp_path / "out")).collect()
+    assert len(written) == 2 == len(list((tmp_path / "out").glob("*/*")))
+    b.close()
+
+
 def test_certificates():
     for nested in (True, False):
         c = app.certificate(fr.cert(nested=nested))
@@ -176,7 +239,7 @@ def test_secrets_and_artifacts(analysis, tmp_path):
     files = {a.name.split("_", 1)[1]: a for a in analysis.artifacts.collect()}
     assert files["payload.exe"].detected_type == "Windows PE executable" and bytes(files["payload.exe"].content)[:2] == b"MZ"
     written = extract.write_artifacts(analysis.artifacts, str(tmp_path / "out")).collect()
-    assert {w.name for w in written} == {p.name for p in (tmp_path / "out").iterdir()}
+    assert {w.name for w in written} == {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").glob("*/*")}
     assert extract.carved(analysis.artifacts.drop("detected_type"), budget=1).where("skipped").count() == len(files)
 
 

@@ -99,7 +99,7 @@ def test_rules(spark, tmp_path):
     for bad in ("rules: 3", "rules:\n  - {id: a}", "rules:\n  - {id: a, pattern: '('}", "a: [", "rules: [1]"):
         (tmp_path / "bad.yaml").write_text(bad)
         with pytest.raises(rules.RuleError):
-            rules.read_rules(tmp_path / "bad.yaml")
+            rules.load_rules([tmp_path / "bad.yaml"])
     for path in (tmp_path / "none", tmp_path / "empty"):
         (tmp_path / "empty").mkdir(exist_ok=True)
         with pytest.raises(rules.RuleError):

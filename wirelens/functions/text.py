@@ -119,7 +119,7 @@ def detect_type(data: Column) -> Column:
 
 
 def sanitize_filename(name: Column, fallback: str = "unnamed") -> Column:
-    """Base name with safe characters only. Accents are not decomposed: any other character is an underscore."""
+    """Base name with safe characters only; any other character is an underscore."""
     base = F.substring_index(F.regexp_replace(name, r"\\", "/"), "/", -1)
     safe = F.regexp_replace(F.regexp_replace(base, r"[^A-Za-z0-9._\- ]", "_"), r"^[. ]+|[. ]+$", "")
     safe = F.substring(F.regexp_replace(safe, r"\s+", "_"), 1, 100)

@@ -7,13 +7,22 @@ bytes are put together.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import net, text
+from .flows import per_capture
 
 KEY = ("protocol", "field", "source")
+
+
+def _key(df: DataFrame) -> list[str]:
+    return per_capture(df, *KEY)
+
+
 # Limits of observations, and thresholds of interest and of reports.
 MOST_OBSERVATIONS = 20_000
 MIN_OBSERVATIONS, MIN_RATIO, MAX_CARDINALITY = 16, 0.5, 8
@@ -26,8 +35,9 @@ HOSTNAME = r"(?i)^(?=.{1,253}$)(?!-)[a-z0-9-]{1,63}(\.[a-z0-9-]{1,63})*\.(?:[a-z
 def _observe(df: DataFrame, protocol: str, source: Column, fields: dict[str, tuple[Column, Column]], order: list[str]) -> DataFrame:
     """Rows of several fields from one scan. fields: name -> (value, condition)."""
     obs = F.array(*[F.struct(F.lit(n).alias("field"), F.when(cond, v.cast("string")).alias("value")) for n, (v, cond) in fields.items()])
-    rows = df.select(F.lit(protocol).alias("protocol"), source.alias("source"), *order, "ts", F.explode(obs).alias("o")).select("protocol", "o.field", "source", *order, "ts", "o.value")
-    pos = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) - 1
+    file = per_capture(df)
+    rows = df.select(*file, F.lit(protocol).alias("protocol"), source.alias("source"), *order, "ts", F.explode(obs).alias("o")).select(*file, "protocol", "o.field", "source", *order, "ts", "o.value")
+    pos = F.row_number().over(Window.partitionBy(*_key(rows)).orderBy(*order)) - 1
     return rows.where("value IS NOT NULL").withColumn("pos", pos).where(F.col("pos") < MOST_OBSERVATIONS)
 
 
@@ -45,7 +55,7 @@ def http_fields(http: DataFrame) -> DataFrame:
         "body length class": (text.length_class(size), yes),
     }
     out = _observe(http, "http", F.col("client"), fields, ["stream", "n"])
-    return out.select(*KEY, "pos", "value", "ts", F.lit(0).cast("long").alias("frame"))
+    return out.select(*_key(out), "pos", "value", "ts", F.lit(0).cast("long").alias("frame"))
 
 
 def dns_fields(dns: DataFrame) -> DataFrame:
@@ -57,20 +67,22 @@ def dns_fields(dns: DataFrame) -> DataFrame:
         "name length class": (text.length_class(F.length("name")), yes),
         "response TTL class": (text.ttl_class(F.col("ttl")), F.col("is_response")),
     }
-    return _observe(dns, "dns", F.col("client"), fields, ["frame"]).select(*KEY, "pos", "value", "ts", "frame")
+    out = _observe(dns, "dns", F.col("client"), fields, ["frame"])
+    return out.select(*_key(out), "pos", "value", "ts", "frame")
 
 
 def tcp_ip_fields(packets: DataFrame) -> DataFrame:
     """Header fields of internal sources. IP ids that count up, and TTLs of many values, are the sender's stack at work."""
     own = packets.where(F.col("proto").isin("tcp", "udp") & (F.col("src") != "") & net.is_internal(F.col("src")))
-    w = Window.partitionBy("src").orderBy("frame")
+    sender = per_capture(packets, "src")
+    w = Window.partitionBy(*sender).orderBy("frame")
     step = F.col("ip_id") - F.lag("ip_id").over(w)
-    ids = own.where("ip_id >= 0").withColumn("step", step).groupBy("src").agg(
+    ids = own.where("ip_id >= 0").withColumn("step", step).groupBy(*sender).agg(
         F.count(F.lit(1)).alias("n_ids"), *[F.count_if((F.col("step") > 0) & (F.col("step") <= s)).alias(f"up{s}") for s in (1, 2, 256)]
     )
-    rest = own.groupBy("src").agg(F.count_if(F.col("tcp_flags") != "").alias("n_tcp"), F.count_if(F.col("ip_ttl") > 0).alias("n_ttl"), F.count_distinct(F.when(F.col("ip_ttl") > 0, F.col("ip_ttl"))).alias("ttls"))
-    facts = rest.join(ids, "src", "left")
-    j = own.join(facts, "src")
+    rest = own.groupBy(*sender).agg(F.count_if(F.col("tcp_flags") != "").alias("n_tcp"), F.count_if(F.col("ip_ttl") > 0).alias("n_ttl"), F.count_distinct(F.when(F.col("ip_ttl") > 0, F.col("ip_ttl"))).alias("ttls"))
+    facts = rest.join(ids, sender, "left")
+    j = own.join(facts, sender)
     tcp = (F.col("tcp_flags") != "") & (F.col("n_tcp") >= MIN_OBSERVATIONS)
     up = F.greatest("up1", "up2", "up256")
     counting = (F.col("n_ids") >= 4) & (up >= 0.9 * (F.col("n_ids") - 1))
@@ -81,11 +93,13 @@ def tcp_ip_fields(packets: DataFrame) -> DataFrame:
         "IP ID parity": (F.col("ip_id") % 2, (F.col("ip_id") >= 0) & (F.col("n_ids") >= MIN_OBSERVATIONS) & ~counting),
         "IP TTL": (F.col("ip_ttl"), (F.col("ip_ttl") > 0) & (F.col("n_ttl") >= MIN_OBSERVATIONS) & (F.col("ttls") <= 8)),
     }
-    return _observe(j, "tcp", F.col("src"), fields, ["frame"]).select(*KEY, "pos", "value", "ts", "frame")
+    out = _observe(j, "tcp", F.col("src"), fields, ["frame"])
+    return out.select(*_key(out), "pos", "value", "ts", "frame")
 
 
-def variation(obs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+def variation(obs: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """By sequence: length, cardinality, transitions, what chance would give, their ratio, longest run, entropy, pattern."""
+    key = list(key) or _key(obs)
     w = Window.partitionBy(*key).orderBy("pos")
     change = F.coalesce((F.col("value") != F.lag("value").over(w)).cast("int"), F.lit(0))
     runs = obs.withColumn("change", change).withColumn("run", F.sum("change").over(w))
@@ -101,6 +115,7 @@ def variation(obs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     stats = stats.withColumn("expected", F.greatest((F.col("length") - 1) * (1 - F.col("psq")), F.lit(1e-9))).drop("psq")
     stats = stats.withColumn("ratio", F.bround(F.col("transitions") / F.col("expected"), 3))
     switching = F.col("ratio") >= 0.55
+    # fixed values: the labels of patterns
     pattern = (
         F.when(F.col("cardinality") < 2, "constant")
         .when((F.col("cardinality") == 2) & switching & (F.col("max_run") <= 8), "two-state repeated sequence")
@@ -115,13 +130,14 @@ def variation(obs: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return stats.withColumn("pattern", pattern).withColumn("interesting", wanted)
 
 
-def decode(obs: DataFrame, stats: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+def decode(obs: DataFrame, stats: DataFrame, key: Sequence[str] = ()) -> DataFrame:
     """Every reading of the interesting sequences that don't only name hosts: mapping, bit order, dropped remainder, and
     the bytes with their printable share and score.
 
     Mappings: the values by first appearance and reversed, for more than two also by frequency; alphabets that are no
     power of two can't be read.
     """
+    key = list(key) or _key(obs)
     wanted = stats.where("interesting AND NOT all_hostnames AND cardinality IN (2, 4, 8)").select(*key, "cardinality", "length")
     seq = obs.join(wanted, list(key))
     alphabet = seq.groupBy(*key, "cardinality", "value").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("c"))
@@ -162,16 +178,16 @@ def decode(obs: DataFrame, stats: DataFrame, key: tuple[str, ...] = KEY) -> Data
 
 def candidates(obs: DataFrame) -> DataFrame:
     """The best reading of each sequence that decodes, most printable first, MAX_CANDIDATES at most."""
-    stats = variation(obs)
+    key, stats = _key(obs), variation(obs)
     floor = F.when(F.col("byte_len") < SHORT_OUTPUT, MIN_PRINTABLE_SHORT).otherwise(MIN_PRINTABLE)
     good = decode(obs, stats).where((F.col("score") >= MIN_SCORE) & (F.col("printable") >= floor))
-    w = Window.partitionBy(*KEY).orderBy(F.col("score").desc(), "mapping", F.col("bit_order").desc(), F.col("pad").desc())
+    w = Window.partitionBy(*key).orderBy(F.col("score").desc(), "mapping", F.col("bit_order").desc(), F.col("pad").desc())
     best = good.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    seen = obs.groupBy(*KEY).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
-    joined = best.join(stats, list(KEY)).join(seen, list(KEY))
+    seen = obs.groupBy(*key).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    joined = best.join(stats, key).join(seen, key)
     confidence = (
         F.when((F.col("cardinality") == 2) & (F.col("ratio") >= 0.8) & (F.col("printable") >= 0.95) & (F.col("byte_len") >= 8), "high")
         .when((F.col("ratio") >= 0.55) & (F.col("printable") >= 0.85), "medium")
         .otherwise("low")
     )
-    return joined.withColumn("confidence", confidence).withColumn("decoded", F.substring("decoded", 1, 400)).orderBy(F.col("printable").desc(), *KEY).limit(MAX_CANDIDATES)
+    return joined.withColumn("confidence", confidence).withColumn("decoded", F.substring("decoded", 1, 400)).orderBy(F.col("printable").desc(), *key).limit(MAX_CANDIDATES)

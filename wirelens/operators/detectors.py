@@ -13,6 +13,7 @@ from ..functions import net, text
 from ..functions.lookups import ABUSED_PORTS, LDAP_PORTS
 from . import app, dns, intervals
 from .findings import capped, finding, mitre_column
+from .flows import per_capture
 from .rules import scan
 
 
@@ -101,7 +102,7 @@ def detect_unusual_ports(a) -> DataFrame:
 
 def detect_tcp_beaconing(a) -> DataFrame:
     starts = without_dc_traffic(a.flows.where("proto = 'tcp'"), a.domain_controllers)
-    stats = intervals.beacon_verdict(intervals.interval_stats(starts.withColumnRenamed("first_ts", "ts"), ["src", "dst", "dport"], size="bytes"))
+    stats = intervals.beacon_verdict(intervals.interval_stats(starts.withColumnRenamed("first_ts", "ts"), per_capture(starts, "src", "dst", "dport"), size="bytes"))
     d = capped(stats.where("severity IS NOT NULL"), 6, "src", "dst", "dport")
     technique = F.when(F.col("dport").isin(80, 8080, 443, 8443), "T1071.001").otherwise("T1095")
     return finding(
@@ -115,7 +116,7 @@ def detect_tcp_beaconing(a) -> DataFrame:
 
 def detect_dns_beaconing(a) -> DataFrame:
     asked = a.dns_named.where(~F.col("is_response") & ~F.col("well_known") & ~net.is_telemetry_domain(F.col("name")))
-    stats = intervals.interval_stats(asked, ["client", "name"])
+    stats = intervals.interval_stats(asked, per_capture(asked, "client", "name"))
     d = capped(stats.where(f"events >= {intervals.MIN_EVENTS} AND intervals >= {intervals.MIN_INTERVALS} AND cv < {intervals.CV_MEDIUM}"), 4, "client", "name")
     return finding(
         d, id=_text("beacon.dns.%s.%s", "client", "name"), title=_text("Timed lookups of %s by %s: %d, %.1f s apart", "name", "client", "events", "mean_interval"), severity="MEDIUM",
@@ -230,7 +231,7 @@ def detect_cleartext_protocols(a) -> DataFrame:
 
 def detect_secret_material(a) -> DataFrame:
     def of(kind: str, id_: str, title: str, severity: str, confidence: str, technique: str) -> DataFrame:
-        d = _one(a.secrets.where(F.col("kind") == kind), F.sort_array(F.collect_set("source")).alias("sources"), F.min(text.mask_secret(F.col("value"))).alias("example"))
+        d = _one(a.secrets.where(F.col("kind") == kind), F.array(F.min("source")).alias("sources"), F.min(text.mask_secret(F.col("value"))).alias("example"))
         return finding(
             d, id=id_, title=_text(title + " (%d)", "n"), severity=severity, confidence=confidence, description=_text("%d values were sent in clear text.", "n"), explanation="Replace them, and find out who sent them. Examples look the same: never try a key to find out.",
             verification="frame contains the value", evidence=[F.get("sources", F.lit(0)), F.col("example")], protocol="", mitre=[(technique, "secrets in traffic")],

@@ -13,10 +13,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -68,36 +70,47 @@ def smtp_artifacts(streams: DataFrame) -> DataFrame:
     return streams.where("server_port IN (25, 587)").select("file", "index", "start_ts", "client", "server", "c2s").mapInArrow(run, ARTIFACT_SCHEMA)
 
 
+@F.pandas_udf(StringType())
+def _decomposed(names: pd.Series) -> pd.Series:
+    """Accents apart from their letters, as Spark has no function for it."""
+    return names.str.normalize("NFKD")
+
+
 def carved(artifacts: DataFrame, budget: int = CARVE_BUDGET) -> DataFrame:
-    """artifacts with number, safe name, size, hashes and type; those beyond a capture's budget are marked skipped."""
+    """artifacts with a folder for each capture, number, safe name, size, hashes and type; those beyond a capture's budget
+    are marked skipped."""
     w = Window.partitionBy("file").orderBy("ts", "stream", "origin", "name")
     size = F.octet_length("content").cast("long")
     out = artifacts.withColumns({"size": size, "number": F.row_number().over(w), "__sum": F.sum(size).over(w)})
     return out.select(
-        "file", "stream", "ts", "origin", "client", "server", F.concat(F.lpad(F.col("number").cast("string"), 4, "0"), F.lit("_"), text.sanitize_filename(F.col("name"))).alias("name"), "claimed_type",
+        "file", "stream", "ts", "origin", "client", "server",
+        F.concat(text.sanitize_filename(F.col("file")), F.lit("-"), F.substring(F.md5("file"), 1, 8)).alias("folder"),
+        F.concat(F.lpad(F.col("number").cast("string"), 4, "0"), F.lit("_"), text.sanitize_filename(_decomposed(F.col("name")))).alias("name"), "claimed_type",
         text.detect_type(F.col("content")).alias("detected_type"), "size", F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1"), F.md5("content").alias("md5"), (F.col("__sum") > budget).alias("skipped"), "content",
     )
 
 
 def write_artifacts(artifacts: DataFrame, folder: str) -> DataFrame:
-    """Write contents to a folder that driver and executors share, each under its safe name; gives name and size of those written."""
+    """Write contents to a folder that driver and executors share, each under its capture's folder and its safe name; gives
+    the path in `folder` and the size of those written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
-        os.makedirs(folder, exist_ok=True)
         for batch in batches:
             names, sizes = [], []
             for row in batch.to_pylist():
-                at = os.path.join(folder, os.path.basename(row["name"]))
+                name = os.path.join(os.path.basename(row["folder"]), os.path.basename(row["name"]))
+                at = os.path.join(folder, name)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
                 with open(f"{at}.part", "wb") as f:
                     f.write(row["content"])
                 os.replace(f"{at}.part", at)  # a task that runs twice writes the same file
-                names.append(row["name"])
+                names.append(name)
                 sizes.append(len(row["content"]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
 
-    return artifacts.where(~F.col("skipped")).select("name", "content").mapInArrow(run, "name string, size long")
+    return artifacts.where(~F.col("skipped")).select("folder", "name", "content").mapInArrow(run, "name string, size long")
 
 
 # --- encodings

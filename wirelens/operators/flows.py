@@ -1,7 +1,7 @@
 """Hosts, flows and conversations of packets.
 
-Every aggregate is map-side combined. Flows are keyed by the directed 5-tuple, conversations by the unordered pair
-of endpoints; `frame` breaks ties of first and last.
+Every aggregate is map-side combined. Flows are keyed by capture and directed 5-tuple, conversations by capture and the
+unordered pair of endpoints; `frame` breaks ties of first and last. Hosts and counts are over all captures.
 """
 
 from __future__ import annotations
@@ -14,6 +14,11 @@ from ..functions import net
 FLOW_KEY = ("proto", "src", "sport", "dst", "dport")
 
 
+def per_capture(df: DataFrame, *key: str) -> list[str]:
+    """key, within each capture file where rows come from several: their frames count from 1 in each."""
+    return ["file", *key] if "file" in df.columns else list(key)
+
+
 def _carried(packets: DataFrame) -> DataFrame:
     return packets.where("proto IN ('tcp', 'udp') AND src <> '' AND dst <> ''")
 
@@ -24,7 +29,8 @@ def flows(packets: DataFrame) -> DataFrame:
     A SYN+ACK answers the reversed flow if that flow had begun: a semi-join on the swapped key and the first frame.
     """
     s, a = F.col("tcp_flags").contains("S"), F.col("tcp_flags").contains("A")
-    agg = _carried(packets).groupBy(*FLOW_KEY).agg(
+    key = per_capture(packets, *FLOW_KEY)
+    agg = _carried(packets).groupBy(*key).agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum(F.col("payload_len").cast("long")).alias("bytes"),
         F.min("ts").alias("first_ts"),
@@ -36,23 +42,24 @@ def flows(packets: DataFrame) -> DataFrame:
         F.max(F.when(s & a & (F.col("proto") == "tcp"), F.col("frame"))).alias("last_synack"),
     )
     answers = agg.where("last_synack IS NOT NULL").select(
-        F.col("proto").alias("r_proto"), F.col("dst").alias("r_src"), F.col("dport").alias("r_sport"), F.col("src").alias("r_dst"), F.col("sport").alias("r_dport"), F.col("last_synack").alias("r_frame")
+        *[F.col(k).alias(f"r_{k}") for k in key if k == "file"], F.col("proto").alias("r_proto"), F.col("dst").alias("r_src"), F.col("dport").alias("r_sport"), F.col("src").alias("r_dst"), F.col("sport").alias("r_dport"), F.col("last_synack").alias("r_frame")
     )
-    on = [F.col(k) == F.col(f"r_{k}") for k in FLOW_KEY]
+    on = [F.col(k) == F.col(f"r_{k}") for k in key]
     joined = agg.drop("last_synack").join(answers, on, "left")
     answered = F.coalesce((F.col("proto") == "tcp") & (F.col("r_frame") >= F.col("first_frame")), F.lit(False))
-    return joined.withColumn("ack_of_syn", answered).drop(*[f"r_{k}" for k in FLOW_KEY], "r_frame")
+    return joined.withColumn("ack_of_syn", answered).drop(*[f"r_{k}" for k in key], "r_frame")
 
 
 def conversations(packets: DataFrame) -> DataFrame:
     """One row per unordered pair of endpoints; a is the source of the first packet, service_port b's port."""
     low, high = net.canonical_pair(F.col("src"), F.col("sport"), F.col("dst"), F.col("dport"))
     first = F.min(F.struct("frame", "src", "sport", "dst", "dport")).alias("first")
-    agg = _carried(packets).groupBy("proto", low.alias("low"), high.alias("high")).agg(
+    file = per_capture(packets)
+    agg = _carried(packets).groupBy(*file, "proto", low.alias("low"), high.alias("high")).agg(
         F.count(F.lit(1)).alias("packets"), F.sum(F.col("payload_len").cast("long")).alias("bytes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), first
     )
     return agg.select(
-        "proto", F.col("first.src").alias("a"), F.col("first.sport").alias("a_port"), F.col("first.dst").alias("b"), F.col("first.dport").alias("b_port"),
+        *file, "proto", F.col("first.src").alias("a"), F.col("first.sport").alias("a_port"), F.col("first.dst").alias("b"), F.col("first.dport").alias("b_port"),
         F.col("first.dport").alias("service_port"), "packets", "bytes", "first_ts", "last_ts", F.col("first.frame").alias("first_frame"),
     )
 
