@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,11 +56,23 @@ BATCH_BYTES = 4 << 20
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of bounded bytes, as texts may be long: a task holds each batch several times,
-    in Spark, on the way and in Python. A session with a bound of its own keeps it."""
+    in Spark, on the way and in Python. A session with a bound of its own keeps it. After each task the Python worker, which
+    Spark keeps for the next, gives its free memory back."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if conf.get(name, None) is None:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
