@@ -6,9 +6,9 @@ has a single name. Two documents have the same (block count, name) exactly when
 come from comparing contents, no hash decides.
 
 Scale: the block contents are shuffled once; later levels move two longs per block and halve each time. A block
-that more than one in `heavy_share` of all blocks equal (found by counting hashes) is named from a broadcast
-table of at most `heavy_share` hashes' contents, so that its occurrences never meet in one task. Pair names are
-found by a map-side combined minimum and joined back, which Spark splits when a pair is skewed.
+that more than one in `heavy_share` of all blocks, or more than MOST_IN_TASK, equal (found by counting hashes) is named like
+the pairs, so that its occurrences never meet in one task: names are a map-side combined minimum and joined back,
+which Spark splits when a pair is skewed. Texts of one block, most of them, are through after the first naming.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .common import SPACE, load, stash, text_or_empty, with_row_id
 
 BLOCK_BYTES = 2048
 HEAVY_SHARE = 1000
+#: Equal blocks that meet in one task at most, and hashes of more common ones that are broadcast at most (8 MB).
+MOST_IN_TASK, MOST_HOT = 100_000, 1_000_000
 
 
 def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy_share: int = HEAVY_SHARE) -> DataFrame:
@@ -45,19 +47,22 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy_share: in
         .withColumn("occ", F.monotonically_increasing_id())
     )
 
-    # blocks that are too common to meet in one task
+    # blocks that are too common to meet in one task: their names are a map-side combined minimum, joined back
     raw = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    common = max(heavy_share, (raw["rows"] + (raw["bytes"] or 0) // block_bytes) // heavy_share)
-    block_hash = F.xxhash64("block")
-    hot = [r["h"] for r in blocks.groupBy(block_hash.alias("h")).count().where(F.col("count") > common).select("h").collect()]
-
-    light = blocks.where(~block_hash.isin(hot)) if hot else blocks
-    named = light.withColumn("name", F.min("occ").over(Window.partitionBy("block"))).drop("block", "occ")
-    if hot:
-        heavy = blocks.where(block_hash.isin(hot))
-        contents = sorted(bytes(r["block"]) for r in heavy.select("block").distinct().collect())
-        names = docs.sparkSession.createDataFrame([(bytearray(c), -1 - k) for k, c in enumerate(contents)], "block binary, name long")
-        named = named.unionByName(heavy.join(F.broadcast(names), "block").drop("block", "occ"))
+    common = min(MOST_IN_TASK, max(heavy_share, (raw["rows"] + (raw["bytes"] or 0) // block_bytes) // heavy_share))
+    hashed = blocks.withColumn("h", F.xxhash64("block"))
+    hot = stash(hashed.groupBy(F.col("h").alias("hot")).count().where(F.col("count") > common).select("hot"), "hot")
+    n_hot = hot.count()
+
+    light = hashed
+    if n_hot:
+        hashed = hashed.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, F.col("h") == F.col("hot"), "left")
+        light = hashed.where("hot IS NULL")
+    named = light.withColumn("name", F.min("occ").over(Window.partitionBy("block"))).drop("block", "occ", "h", "hot")
+    if n_hot:
+        heavy = hashed.where("hot IS NOT NULL").drop("h", "hot")
+        names = stash(heavy.groupBy("block").agg((-1 - F.min("occ")).alias("name")), "heavy").withColumnRenamed("block", "content")
+        named = named.unionByName(heavy.join(names, F.col("block") == F.col("content")).drop("block", "content", "occ"))
 
     level = stash(_arrays(named, keep_doc=True), "names")
     docs_of = level.select("rid", "doc", "n")

@@ -2,7 +2,7 @@
 
 Each record goes to the shard with the best score of hash(record key, shard) under the shard's weight. A new
 shard can only take records for which it now scores best, so nothing moves between the old ones. The choice is a
-projection: no shuffle. Only the gapless slot numbers need one, of a few longs a row.
+projection: no shuffle. It is written once, a few longs a row, and only the gapless slot numbers shuffle it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, text_or_empty, with_row_id
+from .common import load, stash, text_or_empty, with_row_id
 
 N_SHARDS = 40
 #: Rows of one (shard, bucket) that are numbered together, at most on average; and the most buckets a shard has.
@@ -47,7 +47,8 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * N_SHARDS, new_wei
         rendezvous(F.col("doc_id"), weights).alias("shard"),
         rendezvous(F.col("doc_id"), [*weights, new_weight]).alias("grown_shard"),
     )
-    buckets = min(MOST_BUCKETS, max(64, docs.count() // (len(weights) * ROWS_A_BUCKET)))
+    keyed = stash(keyed, "shards")  # narrow, and each score is computed once
+    buckets = min(MOST_BUCKETS, max(64, keyed.count() // (len(weights) * ROWS_A_BUCKET)))
     keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("rid"), F.lit(buckets)))
     counts = keyed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
