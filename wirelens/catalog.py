@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_net, queries_text  # noqa: F401
+from . import queries_capture, queries_net, queries_text  # noqa: F401
 
 QUERIES: dict = {**queries_net.QUERIES}
 ORACLE_SQL: dict = {**queries_net.ORACLE_SQL}

@@ -15,35 +15,41 @@ from .sources.adapters import PACKETS_SQL, packets_from_events
 from .sources.rules import load_rules
 
 query = _register
-RULES = {k: r for k, r in load_rules().items()}
-#: Rules that hit alike in every engine: the words of the shell rule are short enough to end at an accented letter,
-#: which Java's word boundary sees as a letter and RE2's does not.
-PLAIN_RULES = [r for r in RULES.values() if r.id != "interesting.shell-command"]
+RULES = load_rules()
 
 
 def _sql_string(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _rule_sql(of: str, id_: str, column: str, rule_list) -> str:
-    parts = [
-        f"SELECT {id_}, {_sql_string(r.id)} AS rule, {_sql_string(r.kind)} AS kind, {_sql_string(r.confidence)} AS confidence, {r.score} AS score, unnest(regexp_extract_all({column}, {_sql_string('(?m)' + r.pattern)}, {r.group})) AS value FROM {of}"
-        for r in rule_list
-    ]
+#: The shell rule for RE2, whose word boundary doesn't see accented letters as letters: the characters around a word are
+#: matched too, with all white space doubled so that two words may stand next to each other.
+_SHELL = "interesting.shell-command"
+_SHELL_SQL = r"(?im)(?:^|[^\pL\pN_])((?:curl|wget|nc|ncat|bash\s\s-i|sh\s\s-i|powershell\s\s-enc|certutil\s\s-urlcache|chmod\s\s\+x)(?:[!-/:-@\[-^`{-~][!-~]{0,119})?)(?:[^!-~\pL\pN]|$)"
+
+
+def _rule_sql(of: str, id_: str, column: str) -> str:
+    parts = []
+    for r in RULES.values():
+        value = f"unnest(regexp_extract_all({column}, {_sql_string('(?m)' + r.pattern)}, {r.group}))"
+        if r.id == _SHELL:
+            doubled = f"regexp_replace({column}, '(\\s)', '\\1\\1', 'g')"
+            value = f"replace(unnest(regexp_extract_all({doubled}, {_sql_string(_SHELL_SQL)}, 1)), '  ', ' ')"
+        parts.append(f"SELECT {id_}, {_sql_string(r.id)} AS rule, {_sql_string(r.kind)} AS kind, {_sql_string(r.confidence)} AS confidence, {r.score} AS score, {value} AS value FROM {of}")
     return " UNION ALL ".join(parts)
 
 
-@query(_rule_sql("documents", "doc_id", "text", PLAIN_RULES))
+@query(_rule_sql("documents", "doc_id", "text"))
 def rule_scan_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), PLAIN_RULES)
+    return rules.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), RULES.values())
 
 
-@query(_rule_sql("pages", "page_id", "html", PLAIN_RULES))
+@query(_rule_sql("pages", "page_id", "html"))
 def rule_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scan(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), PLAIN_RULES)
+    return rules.scan(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), RULES.values())
 
 
-@query(f"SELECT rule, kind, count(*) AS hits, count(DISTINCT value) AS distinct_values FROM ({_rule_sql('pages', 'page_id', 'html', PLAIN_RULES)}) GROUP BY rule, kind")
+@query(f"SELECT rule, kind, count(*) AS hits, count(DISTINCT value) AS distinct_values FROM ({_rule_sql('pages', 'page_id', 'html')}) GROUP BY rule, kind")
 def rule_severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = rule_scan_pages(spark, sf_dir)
     return hits.groupBy("rule", "kind").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("value").alias("distinct_values"))
@@ -65,9 +71,9 @@ _SCORE_SQL = r"""(least(len(s), 60) // 6 + CASE WHEN regexp_matches(s, '(?i)\b(p
  + CASE WHEN regexp_matches(s, '^(https?|ftp)://') THEN 10 ELSE 0 END)::BIGINT"""
 
 
-@query(f"SELECT doc_id, s AS value, {_SCORE_SQL} AS score FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\x20-\\x7e]{{6,}}')) AS s FROM documents WHERE lang = 'en')")
+@query(f"SELECT doc_id, s AS value, {_SCORE_SQL} AS score FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\x20-\\x7e]{{6,}}')) AS s FROM documents)")
 def string_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rules.printable_strings(docs)
 
 
@@ -77,16 +83,16 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("keywords"))
 
 
-_ENCODED = "SELECT doc_id, base64(encode(substr(text, 1, 90))) AS b64, lower(hex(encode(substr(text, 1, 40)))) AS hexed, replace(substr(text, 1, 60), ' ', '%20') AS url FROM documents"
+_ENCODED = "SELECT doc_id, base64(encode(text)) AS b64, lower(hex(encode(text))) AS hexed, replace(text, ' ', '%20') AS url FROM documents"
 
 
 @query(f"""SELECT doc_id, (regexp_matches(b64, '^[A-Za-z0-9+/=]+$') AND len(b64) % 4 = 0 AND len(rtrim(b64, '=')) >= 8) AS is_base64, (regexp_matches(hexed, '^[0-9a-fA-F]{{8,}}$') AND len(hexed) % 2 = 0) AS is_hex,
 len(regexp_extract_all(url, '%[0-9A-Fa-f]{{2}}')) >= 2 AS is_url, decode(from_base64(b64)) AS from_b64, decode(unhex(hexed)) AS from_hex FROM ({_ENCODED})""")
 def encoding_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One encoding step, recognised and undone: base64, hex and URL forms of the texts' beginnings."""
+    """One encoding step, recognised and undone: base64, hex and URL forms of whole texts."""
     d = table(spark, sf_dir, "documents")
     e = d.select(
-        "doc_id", F.base64(F.encode(F.substring("text", 1, 90), "UTF-8")).alias("b64"), F.lower(F.hex(F.encode(F.substring("text", 1, 40), "UTF-8"))).alias("hexed"), F.regexp_replace(F.substring("text", 1, 60), " ", "%20").alias("url")
+        "doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"), F.lower(F.hex(F.encode("text", "UTF-8"))).alias("hexed"), F.regexp_replace("text", " ", "%20").alias("url")
     )
     e = e.withColumn("b64", F.regexp_replace("b64", "[\r\n]", ""))
     return e.select(
@@ -96,25 +102,26 @@ def encoding_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoding_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts' beginnings in two layers of encodings, and back."""
+    """Whole texts in two layers of encodings, and back."""
     from .operators import extract
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode(F.lower(F.hex(F.encode(F.substring("text", 1, 24), "UTF-8"))), "UTF-8")), "[\r\n]", "").alias("value"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.base64(F.encode(F.lower(F.hex(F.encode("text", "UTF-8"))), "UTF-8")), "[\r\n]", "").alias("value"))
     return extract.encoding_chains(d).select("doc_id", "steps", "final", "printable")
 
 
 def xor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags under a one-byte XOR: a flag with the document's number, under its number as the key."""
+    """Flags under a one-byte XOR: whole texts, each behind a flag of its number under a key that its number gives."""
     from .operators import extract
 
-    key = F.lit(0x41)
+    key = (F.col("doc_id") % 255 + 1).cast("int")
     flag = F.concat(F.lit("..flag{doc_"), F.col("doc_id").cast("string"), F.lit("}.."))
     chars = F.transform(F.filter(F.split(flag, ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseXOR(key)), 2, "0"))
-    return extract.xor_sweep(table(spark, sf_dir, "documents").select("doc_id", F.unhex(F.array_join(chars, "")).alias("data")))
+    data = F.concat(F.unhex(F.array_join(chars, "")), F.coalesce("text", F.lit("")).cast("binary"))
+    return extract.xor_sweep(table(spark, sf_dir, "documents").select("doc_id", data.alias("data")))
 
 
 _register()(encoding_chain)
-_register("SELECT doc_id, 65 AS key, 'flag{doc_' || doc_id || '}' AS value FROM documents")(xor_sweep)
+_register("SELECT doc_id, (doc_id % 255 + 1)::INT AS key, 'flag{doc_' || doc_id || '}' AS value FROM documents")(xor_sweep)
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents")
@@ -150,9 +157,9 @@ def printable_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", text.printable_ratio(F.col("text")).alias("ratio")))
 
 
-@query("SELECT doc_id, translate(substr(text, 1, 80), 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rot13 FROM documents")
+@query("SELECT doc_id, translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM') AS rot13 FROM documents")
 def rot13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.rot13(F.substring("text", 1, 80)).alias("rot13"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.rot13(F.col("text")).alias("rot13"))
 
 
 @query("""SELECT doc_id, CASE WHEN n = 0 THEN '0' WHEN n < 10 THEN '1-9' WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END AS length_class,

@@ -165,6 +165,17 @@ def read_packets(spark: SparkSession, path: str, max_packets: int | None = None)
     return _files(spark, path).select("file", "content").mapInArrow(run, PACKET_SCHEMA)
 
 
+def packets_from_frames(frames: DataFrame) -> DataFrame:
+    """Packet rows of frames(file, frame, ts_us, linktype, raw), from whatever source has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"file": r["file"], "frame": r["frame"], "ts": r["ts_us"] / 1e6, "ts_us": r["ts_us"], "frame_len": len(r["raw"]), **dissect(r["linktype"], r["raw"])} for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, PACKET_TYPES)
+
+    return frames.select("file", "frame", "ts_us", "linktype", "raw").mapInArrow(run, PACKET_SCHEMA)
+
+
 def capture_meta(spark: SparkSession, path: str) -> DataFrame:
     """One row per capture file; a file that is no capture has its error in notes."""
     schema = "file string, size_bytes long, format string, detail string, packet_count long, linktype string, interfaces array<string>, truncated boolean, notes array<string>"
