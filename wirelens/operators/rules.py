@@ -12,11 +12,16 @@ from ..functions import text
 from ..sources.rules import Rule
 
 
+HITS = "array<struct<rule:string,kind:string,confidence:string,score:int,value:string>>"
+
+
 def scan(surfaces: DataFrame, rules: Iterable[Rule], column: str = "text") -> DataFrame:
-    """A row for each hit: the other columns of surfaces, rule, kind, confidence, score, value. One pass over the text."""
+    """A row for each hit: the other columns of surfaces, rule, kind, confidence, score, value. One pass over the text, and
+    a pattern is tried only on texts that hold the literal that it needs."""
     def hits(r: Rule) -> Column:
         fixed = [F.lit(v).alias(n) for n, v in (("rule", r.id), ("kind", r.kind), ("confidence", r.confidence), ("score", r.score))]
-        return F.transform(F.regexp_extract_all(F.col(column), F.lit(r.java), F.lit(r.group)), lambda v: F.struct(*fixed, v.alias("value")))
+        found = F.transform(F.regexp_extract_all(F.col(column), F.lit(r.java), F.lit(r.group)), lambda v: F.struct(*fixed, v.alias("value")))
+        return F.when(F.contains(F.col(column), F.lit(r.needs)), found).otherwise(F.array().cast(HITS)) if r.needs else found
 
     others = [c for c in surfaces.columns if c != column]
     return surfaces.select(*others, F.explode(F.flatten(F.array(*map(hits, rules)))).alias("hit")).select(*others, "hit.*")
