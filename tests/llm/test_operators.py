@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -459,10 +460,34 @@ def test_rendezvous_by_brute_force(spark):
 # --- mixing
 
 
-def test_targets():
-    t = mixing.targets({"a": 100, "b": 1000, "c": 10, None: 50}, (5, 2, 1))
-    assert t["a"] == 300 and t["c"] == 30 and t[None] == 150 and sum(t.values()) == pytest.approx(1160)
-    assert mixing.targets({}, (5, 2, 1)) == {} and mixing.targets({"a": 0}, (1,)) == {"a": 0}
+def slow_targets(sizes, weights, most):
+    """Sources that would get more than their cap get it, and the rest is shared again, until none would."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    capped = {}
+    while True:
+        left = Fraction(sum(sizes.values()) - sum(capped.values()))
+        free = sum(w for s, w in weight.items() if s not in capped)
+        share = {s: left * weight[s] / free for s in order if s not in capped}
+        over = [s for s, t in share.items() if t > most * sizes[s]]
+        if not over:
+            return {s: round(float(t), 6) for s, t in (capped | share).items()}
+        capped |= {s: most * sizes[s] for s in over}
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_targets(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
+    rng = random.Random(5)
+    cases = [{"a": 100, "b": 1000, "c": 10, None: 50}, {"a": 0}, {"a": 0, "b": 7}] + [{f"s{k:02}": rng.choice([0, 1, 10, 1000, 10**6]) for k in range(rng.randrange(1, 12))} for _ in range(3)]
+    for sizes in cases:
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "mix_source string, size long"), (5, 2, 1)).collect()
+        assert {r.mix_source: r.target for r in got} == pytest.approx(slow_targets(sizes, (5, 2, 1), 3), abs=2e-6)
+    df = spark.createDataFrame([(k, "w " * (k % 9), f"s{k % 3}", "x", 7, 8) for k in range(300)], "doc_id long, text string, source string, mix_plan_source string, mix_whole int, mix_bound int")
+    copies = mixing.mixed_documents(df)
+    assert copies.columns == df.columns and copies.where("mix_whole <> 7 OR mix_bound <> 8 OR mix_plan_source <> 'x'").count() == 0 < copies.count()
+    n, got = collections.Counter(r.doc_id for r in copies.collect()), mixing.mix(df).collect()
+    assert all(n[r.doc_id] * r.size == r.taken for r in got)
 
 
 def test_mixing(spark, odd_docs, no_docs):

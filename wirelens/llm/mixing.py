@@ -9,7 +9,6 @@ Nothing is sorted and no row moves: the sums are map-side combined and the choic
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +19,27 @@ from .common import WORD, load, stash, text_or_empty
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 HASH_BITS, STEP_BITS = 60, 12
-#: Rows of per-source totals that the driver handles.
-MOST_SOURCES = 1_000_000
+#: Sources whose plan is broadcast at most, some 50 bytes each.
+MOST_BROADCAST = 200_000
 
 
-def targets(sizes: dict, weights: Sequence[int], most_repeats: int = MOST_REPEATS) -> dict:
-    """Word target of each source, of 6 decimals: weight shares of all words, capped at most_repeats times the
-    source's own words, the excess shared again by weight among the others."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    capped, left, free = {}, Fraction(sum(sizes.values())), sum(weight.values())
-    for s in sorted(order, key=lambda s: Fraction(most_repeats * sizes[s], weight[s])):
-        if left * weight[s] > most_repeats * sizes[s] * free:
-            capped[s] = most_repeats * sizes[s]
-            left, free = left - capped[s], free - weight[s]
-    return {s: round(float(capped[s] if s in capped else left * weight[s] / free), 6) for s in order}
+def targets(totals: DataFrame, weights: Sequence[int], most_repeats: int = MOST_REPEATS) -> DataFrame:
+    """totals(mix_source, size) with target, of 6 decimals: weight shares of all words, capped at most_repeats times the
+    source's own words, the excess shared again by weight among the others.
+
+    In the order of cap over weight the capped sources come first; the first one whose cap is no less than the level that
+    is left for it gives the level of all that follow. One task sorts the sources, a few numbers each.
+    """
+    by_name, ratio = F.col("mix_source").asc_nulls_last(), F.col("cap") / F.col("weight")
+    turn = F.pmod(F.row_number().over(Window.orderBy(by_name)) - 1, F.lit(len(weights))) + 1
+    rows = totals.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), turn)).withColumn("cap", most_repeats * F.col("size"))
+    before, every = Window.orderBy(ratio, by_name).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    left = F.sum("size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
+    free = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
+    rows = rows.withColumn("ratio", ratio).withColumn("level", left.cast("double") / free)
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("mix_source").isNull().alias("none"), "mix_source", "level"))).over(every)["level"]
+    target = F.when(F.col("ratio") < level, F.col("cap").cast("double")).otherwise(F.col("weight") * level)
+    return rows.select("mix_source", "size", F.round(target, 6).alias("target"))
 
 
 def _size():
@@ -46,21 +51,21 @@ def _hash():
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
+def _few(sources: DataFrame) -> DataFrame:
+    """A table by source, broadcast if it is small."""
+    return F.broadcast(sources) if sources.count() <= MOST_BROADCAST else sources
+
+
 def plan(sized: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """mix_source, source_size, target, whole, bound: each row of a source is taken whole times, and once more if its
-    hash is below bound. sized: mix_source, mix_hash, size. At most MOST_SOURCES rows."""
-    totals = sized.groupBy("mix_source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["mix_source"]: r["size"] for r in totals}
-    rows = []
-    for s, t in targets(sizes, weights, most_repeats).items():
-        whole = min(most_repeats, int(t // sizes[s])) if sizes[s] else 0
-        rows.append((s, sizes[s], t, whole, round(t - whole * sizes[s], 6) if sizes[s] and whole < most_repeats else 0.0))
-    table = sized.sparkSession.createDataFrame(rows, "mix_source string, source_size long, target double, whole int, rest double")
-    bounds = _thresholds(sized, table).withColumnRenamed("mix_source", "s")
-    joined = table.join(F.broadcast(bounds), F.col("mix_source").eqNullSafe(F.col("s")), "left")
-    return stash(joined.select(F.col("mix_source").alias("mix_plan_source"), "source_size", "target", F.col("whole").alias("mix_whole"), F.col("bound").alias("mix_bound")), "plan")
+    """mix_plan_source, source_size, target, mix_whole, mix_bound: each row of a source is taken mix_whole times, and once
+    more if its hash is below mix_bound. sized: mix_source, mix_hash, size."""
+    totals = stash(sized.groupBy("mix_source").agg(F.sum("size").alias("size")), "totals")
+    whole = F.when(F.col("size") > 0, F.least(F.lit(most_repeats), F.floor(F.col("target") / F.col("size")).cast("int"))).otherwise(0)
+    rest = F.when((F.col("size") > 0) & (F.col("whole") < most_repeats), F.round(F.col("target") - F.col("whole") * F.col("size"), 6)).otherwise(F.lit(0.0))
+    table = stash(targets(totals, weights, most_repeats).withColumn("whole", whole).withColumn("rest", rest), "targets")
+    bounds = _few(stash(_thresholds(sized, table), "bounds")).withColumnRenamed("mix_source", "s")
+    joined = table.join(bounds, F.col("mix_source").eqNullSafe(F.col("s")), "left")
+    return stash(joined.select(F.col("mix_source").alias("mix_plan_source"), F.col("size").alias("source_size"), "target", F.col("whole").alias("mix_whole"), F.col("bound").alias("mix_bound")), "plan")
 
 
 def _repeats(mix_hash):
@@ -76,7 +81,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = M
     Other columns are ignored.
     """
     sized = stash(docs.select("doc_id", F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
-    joined = sized.join(F.broadcast(plan(sized, weights, most_repeats)), F.col("mix_source").eqNullSafe(F.col("mix_plan_source")))
+    joined = sized.join(_few(plan(sized, weights, most_repeats)), F.col("mix_source").eqNullSafe(F.col("mix_plan_source")))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * _repeats(F.col("mix_hash"))).alias("taken"))
 
 
@@ -84,8 +89,10 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repe
     """The rows of docs that the mix takes, as many times as it takes them; all columns stay."""
     sized = stash(docs.select(F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
     chosen = plan(sized, weights, most_repeats).select("mix_plan_source", "mix_whole", "mix_bound")
-    joined = docs.join(F.broadcast(chosen), F.col("source").eqNullSafe(F.col("mix_plan_source")))
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), _repeats(_hash())))).select(*docs.columns)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name stay apart from those of the plan
+    rows = docs.select(own.alias("own"), F.col("source").alias("mix_source"), _hash().alias("mix_hash"))
+    joined = rows.join(_few(chosen), F.col("mix_source").eqNullSafe(F.col("mix_plan_source")))
+    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), _repeats(F.col("mix_hash"))))).select("own.*")
 
 
 def _thresholds(sized: DataFrame, table: DataFrame) -> DataFrame:
@@ -95,13 +102,13 @@ def _thresholds(sized: DataFrame, table: DataFrame) -> DataFrame:
     inside = Window.partitionBy("mix_source").orderBy("bucket")
     for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         wide = shift + STEP_BITS
-        e = edge.select(F.col("mix_source").alias("s"), "rest", "edge", "used")
+        e = _few(edge.select(F.col("mix_source").alias("s"), "rest", "edge", "used"))
         rows = sized.select("mix_source", "mix_hash", "size")
         if wide < HASH_BITS:
             same = F.col("mix_source").eqNullSafe(F.col("s")) & (F.shiftright("mix_hash", wide) == F.shiftright("edge", wide))
-            rows = rows.join(F.broadcast(e), same).select("mix_source", "mix_hash", "size")
+            rows = rows.join(e, same).select("mix_source", "mix_hash", "size")
         sums = rows.groupBy("mix_source", F.shiftright("mix_hash", shift).alias("bucket")).agg(F.sum("size").alias("words"))
-        run = sums.join(F.broadcast(e), F.col("mix_source").eqNullSafe(F.col("s"))).withColumn("after", F.col("used") + F.sum("words").over(inside))
+        run = sums.join(e, F.col("mix_source").eqNullSafe(F.col("s"))).withColumn("after", F.col("used") + F.sum("words").over(inside))
         start = (F.col("after") - F.col("words")).alias("used")
         if shift:
             # the first bucket that the budget doesn't fill; none when it is spent by the last
