@@ -302,11 +302,11 @@ def near_roots(texts):
     return sorted({find(k) for k in range(len(sets))})
 
 
-@pytest.mark.parametrize("reach", [(8, 64, None), (1, None)])
-def test_near_dedup_against_all_pairs(spark, monkeypatch, reach):
+@pytest.mark.parametrize("rounds", [(("neighbours", 8), ("hubs", 4), ("all", None)), (("hubs", 1), ("all", None))])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, rounds):
     texts = near_texts()
     want = near_roots(texts)
-    monkeypatch.setattr(simhash, "REACH", reach, raising=False)
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.near_dedup(df).collect()) == want
     assert 0.2 * len(texts) < len(want) < 0.9 * len(texts)

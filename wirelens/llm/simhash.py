@@ -230,8 +230,9 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 _P, _Q = Fraction(str(NEAR_SIMILARITY)).as_integer_ratio()
 #: Texts that are sampled for the shingles that many texts have, and how many of those put a shingle last in the order.
 SAMPLE_TEXTS, COMMON_TEXTS, MOST_COMMON = 10_000, 4, 100_000
-#: How far apart in a bucket texts are compared, round by round; None is every pair not joined by then.
-REACH = (8, None)
+#: What is compared in a bucket, round by round, of what isn't joined by then: neighbours by length so far apart, all with
+#: the texts that have most links so far, every pair.
+ROUNDS = (("neighbours", 8), ("hubs", 4), ("all", None))
 #: Bits of a text's signature for each of its shingles.
 SIGNATURE_BITS = 4
 
@@ -407,19 +408,39 @@ def _fingerprint_pairs(texts: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _candidates(buckets: DataFrame, roots: DataFrame, reach: int | None) -> DataFrame:
+def hub_pairs(key: np.ndarray, tid: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray, hubs: int) -> Iterator[np.ndarray]:
+    """Pairs a < b that may have the similarity, of rows sorted by key, of a key's first `hubs` rows with all others of other roots."""
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    start = np.repeat(first, np.diff(np.append(first, len(key))))
+    to = np.arange(len(key))
+    for k in range(hubs):
+        later = to > start + k
+        a, b = start[later] + k, to[later]
+        low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        good = (root[a] != root[b]) & (_Q * low >= _P * high) & ((_P + _Q) * np.minimum(n[a] - pos[a], n[b] - pos[b]) >= _P * (n[a] + n[b]))
+        if good.any():
+            a, b = tid[a[good]], tid[b[good]]
+            yield np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
+
+def _candidates(buckets: DataFrame, edges: DataFrame, kind: str, reach: int | None) -> DataFrame:
     """a, b: the distinct pairs of a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in _runs(batches):
-            for pairs in bucket_pairs(*cols, reach):
+            for pairs in (hub_pairs if kind == "hubs" else bucket_pairs)(*cols, reach):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k].copy()) for k in (0, 1)], ["a", "b"])
 
-    rooted = buckets.join(roots, F.col("tid") == F.col("node"), "left").select("key", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"))
+    degrees = edges.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("links"))
+    known = stash(components(edges).join(degrees, F.col("node") == F.col("d"), "left").select("node", "root", "links"), "roots")
+    rooted = buckets.join(known, F.col("tid") == F.col("node"), "left").select("key", "tid", "n", "pos", F.coalesce("root", "tid").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     # a bucket of one root has no pair left
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rows = rooted.join(open_keys, "key", "left_semi")
-    return map_batches(rows.repartition("key").sortWithinPartitions("key", "n", "tid"), run, "a long, b long").distinct()
+    rows = rooted.join(open_keys, "key", "left_semi").repartition("key")
+    order = (F.col("links").desc(),) if kind == "hubs" else ("n",)
+    rows = rows.sortWithinPartitions("key", *order, "tid").select("key", "tid", "n", "pos", "root")
+    return map_batches(rows, run, "a long, b long").distinct()
 
 
 def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -459,8 +480,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     SimHash joins most near copies: texts whose fingerprints link are tested. No 64-bit fingerprint finds every pair of
     similarity 0.8, so the rest is found exactly: in one order of all shingles, similar texts share one of the first
-    fifth, so each pair meets in a bucket; only texts already joined by tested links are spared each other. A round
-    tests neighbours by length first, so that a cloud of near copies is joined before all its pairs are made. Pairs are
+    fifth, so each pair meets in a bucket; only texts already joined by tested links are spared each other. The first
+    rounds test neighbours and the texts of most links, so that a cloud of near copies is joined before all its pairs are made. Pairs are
     tested by signatures, which reject none that is similar, then on the whole sets.
     """
     rid = free_name(docs, "near_rid")
@@ -472,8 +493,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     edges = stash(_similar(_possible(_fingerprint_pairs(texts), texts), data), "similar")
     buckets = _buckets(texts)
-    for reach in REACH:
-        pairs = stash(_candidates(buckets, components(edges), reach), "pairs")
+    for kind, reach in ROUNDS:
+        pairs = stash(_candidates(buckets, edges, kind, reach), "pairs")
         edges = stash(edges.unionByName(_similar(_possible(pairs, texts), data)), "similar")
 
     member = same.join(components(edges), F.col("same") == F.col("node"), "left").select("rid", "none", "doc_id", F.coalesce("root", "same").alias("group"))

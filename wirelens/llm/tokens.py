@@ -30,7 +30,7 @@ from .common import load, map_batches, shared_folder, sliced, text_or_empty, wit
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Characters of a text that are split into words at a time; words that a task remembers.
-PIECE, MOST_WORDS = 1 << 20, 150_000
+PIECE, MOST_WORDS = 1 << 20, 300_000
 #: Distinct words of letters encoded together.
 JOINED = 4096
 BLOCKS = "part int, block int, first_id long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
@@ -119,10 +119,10 @@ class WordEncoder:
         for k in range(0, len(parts), JOINED):
             group = parts[k : k + JOINED]
             if joined:
-                ids = np.array(self.tok.encode(" ".join(group), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, np.uint32)
                 last = np.flatnonzero(self.ends[ids])
             if not joined or len(last) != len(group):
-                lists = [e.ids for e in self.tok.encode_batch(group, add_special_tokens=False)]
+                lists = [e.ids for e in self.tok.encode_batch_fast(group, add_special_tokens=False)]
                 ids = np.fromiter((i for x in lists for i in x), np.uint32)
                 last = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))) - 1
             self.at.update(zip(group, range(self.known, self.known + len(group))))
@@ -167,8 +167,9 @@ class WordEncoder:
         """All ids of the words, and how many each word has."""
         k = self._numbers(words)
         if len(missing := np.flatnonzero(k < 0)):
-            self._learn(list(dict.fromkeys(words[i] for i in missing.tolist())))
-            k = self._numbers(words)
+            unknown = [words[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            k[missing] = self._numbers(unknown)
         self.hits[: self.known] += np.bincount(k, minlength=self.known).astype(np.int32)
         out = self._gather(k), self.length[k]
         if len(self.at) > MOST_WORDS:
