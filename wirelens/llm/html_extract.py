@@ -37,8 +37,8 @@ from .common import load, map_batches, sliced, stash
 LEAST_PAGES = 5
 #: Hashes in templates that are broadcast at most: 16 MB.
 BROADCAST_TOKENS = 2_000_000
-#: A page's longest texts, by which copies of an article are known.
-LONGEST = 3
+#: A page's texts of most weight, by which copies of an article are known.
+LONGEST = 2
 #: A character of text weighs so much, and in an element whose name says that it isn't main text the other.
 PLAIN, NAMED = 8, 1
 
@@ -63,7 +63,7 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _LONG = re.compile(r"\d+"), re.compile(r"\d{3,}")
 
 
 def markup(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
@@ -188,22 +188,27 @@ def _key(s: str) -> int:
 
 
 def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """Class and id, numbers in them left out, and whether the names say that the element isn't main text."""
+    """Class and id, numbers that may be a page's own left out, and whether the names say that the element isn't main text."""
     names = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest else {}
-    label = f"{names.get('class', '')} {names.get('id', '')}".strip()
+    label = f"{_LONG.sub('0', names.get('class', ''))} {_DIGITS.sub('0', names.get('id', ''))}".strip()
     words = {w.lower() for w in _NAME.findall(label)} if label else set()
     off = tag in BOILERPLATE or names.get("role", "").lower() in ROLES or bool(words & WORDS and tag not in ("html", "body", "main"))
-    return ("." + _DIGITS.sub("0", label) if label else ""), off
+    return ("." + label if label else ""), off
 
 
-def weights(elements: list[Element], blocks: list[Block]) -> list[int]:
-    """The weighted text that isn't linked in each element; in the first one, all."""
-    off, out = [False] * len(elements), [0] * len(elements)
+def weigh(elements: list[Element], blocks: list[Block]) -> list[int]:
+    """The weight of each block: its characters, none if most are links."""
+    off = [False] * len(elements)
     for k, e in enumerate(elements):
         off[k] = e.off or (k > 0 and off[e.above])
-    for b in blocks:
-        if not b.linked:
-            out[b.element] += len(b.text) * (NAMED if off[b.element] else PLAIN)
+    return [0 if b.linked else len(b.text) * (NAMED if off[b.element] else PLAIN) for b in blocks]
+
+
+def weights(elements: list[Element], blocks: list[Block]) -> list[int]:
+    """The weight of the blocks in each element; in the first one, of all."""
+    out = [0] * len(elements)
+    for b, w in zip(blocks, weigh(elements, blocks)):
+        out[b.element] += w
     for k in range(len(elements) - 1, 0, -1):
         out[elements[k].above] += out[k]
     return out
@@ -235,8 +240,8 @@ def _page(html: str) -> tuple[int, int, list[dict]]:
     for b in blocks:
         own = elements[b.element].key
         add(_key(f"{own}\0{b.text}"), place=b.place, kind=TEXT, own=own, weight=0, depth=0)
-    longest = sorted((b.text for b in blocks if not b.linked), key=lambda x: (-len(x), x))[:LONGEST]
-    return _key("\0".join(longest) if longest else html), weight[0], list(seen.values())
+    longest = sorted((-w, b.text) for b, w in zip(blocks, weigh(elements, blocks)) if w)[:LONGEST]
+    return _key("\0".join(text for _, text in longest) if longest else html), weight[0], list(seen.values())
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:

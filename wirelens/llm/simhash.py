@@ -320,7 +320,8 @@ def _distinct_texts(data: DataFrame) -> DataFrame:
                 names.append(whole.digest())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("none"), batch.column("doc_id"), pa.array(names, pa.binary())], ["rid", "none", "doc_id", "name"])
 
-    named = stash(map_batches(data.select("rid", F.col("doc_id").isNull().alias("none"), "doc_id", "data"), run, "rid long, none boolean, doc_id long, name binary"), "named")
+    named = map_batches(data.select("rid", F.col("doc_id").isNull().alias("none"), "doc_id", "data"), run, "rid long, none boolean, doc_id long, name binary")
+    named = stash(named.repartition("rid"), "named")  # a few files of narrow rows
     first = named.groupBy("name").agg(F.min(F.struct("none", "doc_id", "rid")).alias("first"))
     return stash(named.join(first.withColumnRenamed("name", "n"), F.col("name") == F.col("n")).select("rid", "none", "doc_id", F.col("first.rid").alias("same")), "same")
 
@@ -465,7 +466,7 @@ def _similar(pairs: DataFrame, data: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(sets, pa.list_(pa.int64()))], ["tid", "shingles"])
 
     wanted = rows_in(data, "rid", pairs.select(F.explode(F.array("a", "b")).alias("rid")))
-    sets = stash(map_batches(wanted.select("rid", "data"), run, "tid long, shingles array<long>"), "shingles")
+    sets = stash(map_batches(wanted.select("rid", "data"), run, "tid long, shingles array<long>").repartition("tid"), "shingles")
     sides = [sets.select(F.col("tid").alias(f"{e}_tid"), F.col("shingles").alias(f"{e}_set")) for e in ("a", "b")]
     both = pairs.join(sides[0], F.col("a") == F.col("a_tid")).join(sides[1], F.col("b") == F.col("b_tid"))
     return both.where(F.expr(f"{_P + _Q} * size(array_intersect(a_set, b_set)) >= {_P} * (size(a_set) + size(b_set))")).select("a", "b")
