@@ -254,7 +254,10 @@ def test_reports(analysis, tmp_path):
     assert "s3cret" not in page + (tmp_path / "md").read_text()
     with pytest.raises(ValueError):
         reports.write_report(analysis, str(tmp_path / "x"), "pdf")
-    assert any(f["group"] == "finding" for f in reports.wireshark_filters(analysis))
+    groups = {f["group"]: f["filter"] for f in reports.wireshark_filters(analysis)}
+    assert set(groups) == {"finding", "host", "domain", "credentials", "downloads", "unusual ports"} and groups["domain"] == 'dns.qry.name contains "bad.example"'
+    run = one(analysis.metrics())
+    assert run.packets == analysis.packets.count() and run.packets_per_second == pytest.approx(run.packets / run.seconds)
     assert analysis.timeline.select(F.countDistinct("kind")).first()[0] >= 4
 
 

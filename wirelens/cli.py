@@ -130,6 +130,8 @@ def analyze(a: Analysis, args) -> None:
     for k, (title, view) in enumerate(steps, 1):
         print(f"\n== {k}/{len(steps)} {title}")
         view(a, args)
+    print("\n== Run")
+    _show(a.metrics(), args)
 
 
 COMMANDS: dict[str, Callable] = {

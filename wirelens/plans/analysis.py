@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
@@ -25,7 +26,12 @@ class Analysis:
     def __init__(self, spark: SparkSession, path: str = "", *, packets: DataFrame | None = None, max_packets: int | None = None, rules_paths: tuple[str, ...] = (), extra_rule: Rule | None = None, dcs: tuple[str, ...] = ()) -> None:
         self.spark, self.path, self.max_packets, self.extra_rule, self.dcs = spark, path, max_packets, extra_rule, dcs
         self.rules = load_rules(rules_paths)
-        self._given, self._kept = packets, []
+        self._given, self._kept, self._began = packets, [], time.monotonic()
+
+    def metrics(self) -> DataFrame:
+        """Packets, seconds since the analysis began and packets a second: to be asked for when the work is done."""
+        n, seconds = self.packets.count(), time.monotonic() - self._began
+        return self.spark.createDataFrame([(n, seconds, n / seconds)], "packets long, seconds double, packets_per_second double")
 
     def _keep(self, df: DataFrame) -> DataFrame:
         self._kept.append(df.persist(StorageLevel.DISK_ONLY))

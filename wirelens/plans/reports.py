@@ -7,7 +7,7 @@ import html
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -44,11 +44,30 @@ def summary(a: Analysis) -> dict:
     }
 
 
+#: Ports whose streams aren't unusual, and filters of a group at most.
+USUAL_PORTS, MOST_FILTERS = (80, 443, 53, 22, 25), 12
+
+
 def wireshark_filters(a: Analysis) -> list[dict]:
     """Display filters by group, for reading on in the packet viewer."""
-    by_finding = a.findings.select(F.lit("finding").alias("group"), F.col("title").alias("what"), F.explode("wireshark_filters").alias("filter"))
-    by_host = flows.top_talkers(a.hosts).select(F.lit("host").alias("group"), F.col("ip").alias("what"), F.concat(F.lit("ip.addr == "), F.col("ip")).alias("filter"))
-    return _rows(by_finding.unionByName(by_host), 200)
+
+    def group(name: str, df: DataFrame, what: Column, display: Column) -> list[dict]:
+        return _rows(df.select(F.lit(name).alias("group"), what.alias("what"), display.alias("filter")).limit(MOST_FILTERS), MOST_FILTERS)
+
+    stream = F.format_string("tcp.stream == %d", "stream")
+    changing = a.http.where("method IN ('POST', 'PUT')").select("method").distinct().orderBy("method")
+    files = a.http.where("status = 200 AND resp_body_len > 0 AND path <> '/'").select("stream", "n", "path").orderBy("stream", "n")
+    odd = a.streams.where(~F.col("server_port").isin(*USUAL_PORTS) & (F.octet_length("c2s") + F.octet_length("s2c") > 0)).select(F.col("index").alias("stream"), "server_port").orderBy("stream")
+    asked = dns.domain_stats(a.dns_named).where("queries >= 3").orderBy(F.col("queries").desc(), "domain")
+    return [
+        *_rows(a.findings.select(F.lit("finding").alias("group"), F.col("title").alias("what"), F.explode("wireshark_filters").alias("filter")), 200),
+        *group("host", flows.top_talkers(a.hosts), F.col("ip"), F.concat(F.lit("ip.addr == "), F.col("ip"))),
+        *group("domain", asked, F.col("domain"), F.format_string('dns.qry.name contains "%s"', "domain")),
+        *group("credentials", a.credentials.select("stream").distinct().orderBy("stream"), stream, stream),
+        *group("state-changing requests", changing, F.col("method"), F.format_string('http.request.method == "%s"', "method")),
+        *group("downloads", files, F.col("path"), F.format_string('http.request.full_uri contains "%s"', "path")),
+        *group("unusual ports", odd, F.col("server_port").cast("string"), stream),
+    ]
 
 
 def to_json(s: dict) -> str:
