@@ -30,7 +30,7 @@ from .common import load, map_batches, shared_folder, sliced, text_or_empty, wit
 END_ID = 2
 BLOCK_IDS = 1 << 16
 #: Characters of a text that are split into words at a time; words that a task remembers.
-PIECE, MOST_WORDS = 1 << 20, 300_000
+PIECE, MOST_WORDS = 1 << 20, 400_000
 #: Distinct words of letters encoded together.
 JOINED = 4096
 BLOCKS = "part int, block int, first_id long, n_ids long, width int, doc_ids array<long>, ends array<long>, payload binary"
