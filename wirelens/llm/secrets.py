@@ -86,8 +86,8 @@ def _automaton() -> ahocorasick.Automaton:
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in code points, by start and kind. Per kind leftmost and not overlapping: a match that
-    its check drops still hides what lies inside it."""
+    """(start, end, kind) in code points, by start and kind. Per kind leftmost and not overlapping. A match of a base kind that
+    its check drops still hides what lies inside it; of an added kind it hides its first segment, up to a dot."""
     low = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     hits: dict[str, list[int]] = {}
     for end, (kind, n) in _automaton().iter(low):
@@ -103,6 +103,8 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 free = m.end()
                 if holds(m):
                     found.append((start, free, kind))
+                elif kind not in BASE_KINDS:
+                    free = start + len(m[0].partition(".")[0])
             elif kind == "jwt":
                 free = JWT_RUN.match(text, start).end()  # what follows the run decides for every start in it
     return sorted(found, key=lambda s: (s[0], ORDER[s[2]]))
