@@ -137,3 +137,24 @@ def test_score(spark):
     events = findings.timeline({"dns": spark.createDataFrame([(2.0, "h", "INFO", "x"), (1.0, "g", "HIGH", "y")], "ts double, host string, severity string, text string")})
     assert [r.text for r in events.collect()] == ["y", "x"]
     assert findings.filter_timeline(events, min_severity="MEDIUM").count() == 1
+
+
+def test_rules_need_what_their_matches_hold():
+    import random
+    import re
+
+    from wirelens.sources.rules import Rule, load_rules
+
+    rng = random.Random(3)
+    rules = list(load_rules().values()) + [Rule("x", "x", p) for p in (r"a|b", r"(?:ab|cd)?ef", r"(?i)K\u212ax", r"x{0,2}y+", r"[ab]c|d[^e]", r"(?P<value>q(?:r|s)t)", r"^$", r"\bé\b", r"(?=ab)a", r"(ab)\1")]
+    pieces = sorted({x for r in rules for x in r.needs}) + [c for r in rules for c in r.pattern] + ["flag{abcdefgh}", "AKIA" + "A" * 16, "10.1.2.3", "' OR '1'='1", "a@bc.de", "K\u212ax", "; cat ", "aab", "cmd=/bin/sh -c", "eyJaaaaaaaa.eyJaaaaaaaa.a"]
+    hits = set()
+    for _ in range(6000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9)))
+        for r in rules:
+            if re.search(r.pattern, text, re.M):
+                hits.add(r.id)
+                assert not r.needs or any(x in text.lower() for x in r.needs), (r.pattern, text)
+    assert len(hits) > 10
+    needs = {r.id: r.needs for r in rules}
+    assert needs["http.cmd-injection"] == {";", "%3b"} and needs["credentials.github-token"] == {f"gh{c}_" for c in "pousr"} and not Rule("x", "x", "(?:ab)?c*").needs

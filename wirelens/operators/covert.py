@@ -7,7 +7,7 @@ bytes are put together.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import net, text
 from .flows import per_capture
+from .limits import Limits
 
 KEY = ("protocol", "field", "source")
 
@@ -23,8 +24,7 @@ def _key(df: DataFrame) -> list[str]:
     return per_capture(df, *KEY)
 
 
-# Limits of observations, and thresholds of interest and of reports.
-MOST_OBSERVATIONS = 20_000
+# Thresholds of interest and of reports.
 MIN_OBSERVATIONS, MIN_RATIO, MAX_CARDINALITY = 16, 0.5, 8
 MIN_SCORE, MIN_PRINTABLE, MIN_PRINTABLE_SHORT, SHORT_OUTPUT, MAX_CANDIDATES = 0.72, 0.85, 0.95, 8, 8
 # Words that raise a decoded text's score.
@@ -32,16 +32,17 @@ SCORE_WORDS = ("flag", "ctf", "the ", "pass", "secret", "covert", "channel", "ad
 HOSTNAME = r"(?i)^(?=.{1,253}$)(?!-)[a-z0-9-]{1,63}(\.[a-z0-9-]{1,63})*\.(?:[a-z]{2,24}|xn--[a-z0-9-]{2,59})$"
 
 
-def _observe(df: DataFrame, protocol: str, source: Column, fields: dict[str, tuple[Column, Column]], order: list[str]) -> DataFrame:
-    """Rows of several fields from one scan. fields: name -> (value, condition)."""
+def _observe(df: DataFrame, protocol: str, source: Column, fields: dict[str, tuple[Column, Column]], order: list[str], most: int | None) -> DataFrame:
+    """Rows of several fields from one scan, the first `most` of each sequence. fields: name -> (value, condition)."""
     obs = F.array(*[F.struct(F.lit(n).alias("field"), F.when(cond, v.cast("string")).alias("value")) for n, (v, cond) in fields.items()])
     file = per_capture(df)
     rows = df.select(*file, F.lit(protocol).alias("protocol"), source.alias("source"), *order, "ts", F.explode(obs).alias("o")).select(*file, "protocol", "o.field", "source", *order, "ts", "o.value")
     pos = F.row_number().over(Window.partitionBy(*_key(rows)).orderBy(*order)) - 1
-    return rows.where("value IS NOT NULL").withColumn("pos", pos).where(F.col("pos") < MOST_OBSERVATIONS)
+    rows = rows.where("value IS NOT NULL").withColumn("pos", pos)
+    return rows if most is None else rows.where(F.col("pos") < most)
 
 
-def http_fields(http: DataFrame) -> DataFrame:
+def http_fields(http: DataFrame, most: int | None = Limits.observations) -> DataFrame:
     yes = F.lit(True)
     size = F.when(F.col("method").isin("POST", "PUT"), F.col("req_body_len")).otherwise(F.greatest("resp_body_len", F.lit(0)))
     fields = {
@@ -54,11 +55,11 @@ def http_fields(http: DataFrame) -> DataFrame:
         "first cookie name": (F.trim(F.substring_index("cookies", "=", 1)), F.col("cookies") != ""),
         "body length class": (text.length_class(size), yes),
     }
-    out = _observe(http, "http", F.col("client"), fields, ["stream", "n"])
+    out = _observe(http, "http", F.col("client"), fields, ["stream", "n"], most)
     return out.select(*_key(out), "pos", "value", "ts", F.lit(0).cast("long").alias("frame"))
 
 
-def dns_fields(dns: DataFrame) -> DataFrame:
+def dns_fields(dns: DataFrame, most: int | None = Limits.observations) -> DataFrame:
     yes = F.lit(True)
     count = F.when(F.col("name") == "", 0).otherwise(F.size(text.labels(F.col("name"))))
     fields = {
@@ -67,11 +68,11 @@ def dns_fields(dns: DataFrame) -> DataFrame:
         "name length class": (text.length_class(F.length("name")), yes),
         "response TTL class": (text.ttl_class(F.col("ttl")), F.col("is_response")),
     }
-    out = _observe(dns, "dns", F.col("client"), fields, ["frame"])
+    out = _observe(dns, "dns", F.col("client"), fields, ["frame"], most)
     return out.select(*_key(out), "pos", "value", "ts", "frame")
 
 
-def tcp_ip_fields(packets: DataFrame) -> DataFrame:
+def tcp_ip_fields(packets: DataFrame, most: int | None = Limits.observations) -> DataFrame:
     """Header fields of internal sources. IP ids that count up, and TTLs of many values, are the sender's stack at work."""
     own = packets.where(F.col("proto").isin("tcp", "udp") & (F.col("src") != "") & net.is_internal(F.col("src")))
     sender = per_capture(packets, "src")
@@ -93,7 +94,7 @@ def tcp_ip_fields(packets: DataFrame) -> DataFrame:
         "IP ID parity": (F.col("ip_id") % 2, (F.col("ip_id") >= 0) & (F.col("n_ids") >= MIN_OBSERVATIONS) & ~counting),
         "IP TTL": (F.col("ip_ttl"), (F.col("ip_ttl") > 0) & (F.col("n_ttl") >= MIN_OBSERVATIONS) & (F.col("ttls") <= 8)),
     }
-    out = _observe(j, "tcp", F.col("src"), fields, ["frame"])
+    out = _observe(j, "tcp", F.col("src"), fields, ["frame"], most)
     return out.select(*_key(out), "pos", "value", "ts", "frame")
 
 
@@ -191,3 +192,26 @@ def candidates(obs: DataFrame) -> DataFrame:
         .otherwise("low")
     )
     return joined.withColumn("confidence", confidence).withColumn("decoded", F.substring("decoded", 1, 400)).orderBy(F.col("printable").desc(), *key).limit(MAX_CANDIDATES)
+
+
+#: name -> a function of the Analysis that gives observations: protocol, field, source, pos, value, ts, frame, and file where packets have it.
+EXTRACTORS: dict[str, Callable] = {
+    "http": lambda a: http_fields(a.http, a.limits.observations),
+    "dns": lambda a: dns_fields(a.dns, a.limits.observations),
+    "tcp/ip": lambda a: tcp_ip_fields(a.packets, a.limits.observations),
+}
+
+
+def register_extractor(name: str, extractor: Callable) -> None:
+    """Add an extractor of field values; its sequences are judged like any others. What isn't asked for isn't planned."""
+    EXTRACTORS[name] = extractor
+
+
+def observations(a, only: Sequence[str] | None = None) -> DataFrame:
+    """The observations of all extractors, or of those named, in one union."""
+    parts = [make(a) for name, make in EXTRACTORS.items() if only is None or name in only]
+    columns = [c for c in (*per_capture(parts[0]), *KEY, "pos", "value", "ts", "frame")]
+    out = parts[0].select(*columns)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*columns))
+    return out

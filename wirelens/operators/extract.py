@@ -19,24 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StringType
-from pyspark.sql.window import Window
 
 from ..functions import text
 from ..sources.rules import Rule
 from . import rules as ruleops
-
-# Bytes carved from a capture at most, of a stream scanned at most, of a blob tried with XOR.
-CARVE_BUDGET, SCAN_WINDOW, XOR_REGION, XOR_REACH, CHAIN_DEPTH = 1 << 30, 2 << 20, 4096, 200, 3
+from .feeds import Feed, as_chunks, parsed
+from .limits import Limits
+from .numbering import running
+
+# The longest flag looked for under XOR, and the encodings undone one after the other.
+XOR_REACH, CHAIN_DEPTH = 200, 3
+#: Bytes of a text that rules are tried on at a time, and those that two such texts of one stream share.
+SCAN_BLOCK, SCAN_SHARED = 2 << 20, 64 << 10
 XOR_PREFIXES = (b"flag{", b"FLAG{", b"picoCTF{", b"CTF{", b"HTB{", b"THM{")
+_XOR_STEPS = [(p, bytes(a ^ b for a, b in zip(p, p[1:]))) for p in XOR_PREFIXES]
 
 
 # --- files
 
-ARTIFACT_SCHEMA = "file string, stream int, ts double, origin string, client string, server string, name string, claimed_type string, content binary"
+ARTIFACT_SCHEMA = "file string, stream int, n int, ts double, origin string, client string, server string, name string, claimed_type string, content binary"
 
 
 def _artifact_columns(df: DataFrame, origin: str, name: Column, claimed: Column, content: Column) -> DataFrame:
-    return df.select("file", F.col("stream"), "ts", F.lit(origin).alias("origin"), "client", "server", name.alias("name"), claimed.alias("claimed_type"), content.alias("content"))
+    return df.select("file", "stream", "n", "ts", F.lit(origin).alias("origin"), "client", "server", name.alias("name"), claimed.alias("claimed_type"), content.alias("content"))
 
 
 def http_artifacts(http: DataFrame) -> DataFrame:
@@ -45,29 +50,36 @@ def http_artifacts(http: DataFrame) -> DataFrame:
     base = F.substring_index("path", "/", -1)
     down_name = F.when(base.contains("."), base).otherwise(F.concat(F.when(base == "", "index").otherwise(base), F.coalesce(ext, F.lit(""))))
     down = _artifact_columns(http.where(F.octet_length("resp_body") > 0), "http-download", down_name, F.col("content_type_resp"), F.col("resp_body"))
-    head = F.decode(F.substring("req_body", 1, 8192), "ISO-8859-1")
-    named = F.regexp_extract(head, r'filename="([^"]*)"', 1)
+    named = F.regexp_extract(F.decode("req_body", "ISO-8859-1"), r'filename="([^"]*)"', 1)
     sent = http.where(F.col("method").isin("POST", "PUT") & (F.octet_length("req_body") > 0)).where((named != "") | F.lower("content_type_req").contains("multipart"))
     return down.unionByName(_artifact_columns(sent, "http-upload", F.when(named != "", named).otherwise("upload"), F.col("content_type_req"), F.col("req_body")))
 
 
-def smtp_artifacts(streams: DataFrame) -> DataFrame:
-    """Attachments of mails: what follows DATA up to the lone dot."""
-    types = pa.schema([("file", pa.string()), ("stream", pa.int32()), ("ts", pa.float64()), ("origin", pa.string()), ("client", pa.string()), ("server", pa.string()), ("name", pa.string()), ("claimed_type", pa.string()), ("content", pa.binary())])
+_DATA = re.compile(rb"(?i)DATA *")
+
 
-    def attachments(s: dict) -> Iterator[dict]:
-        for mail in re.findall(rb"(?is)(?:\A|\n)DATA *\r\n(.*?)\r\n\.\r\n", s["c2s"]):
+def smtp_artifacts(streams: DataFrame) -> DataFrame:
+    """Attachments of mails: what follows DATA up to the lone dot. One mail is held at a time."""
+    types = pa.schema([("file", pa.string()), ("stream", pa.int32()), ("n", pa.int32()), ("ts", pa.float64()), ("origin", pa.string()), ("client", pa.string()), ("server", pa.string()), ("name", pa.string()), ("claimed_type", pa.string()), ("content", pa.binary())])
+
+    def mails(feed: Feed) -> Iterator[bytes]:
+        while (end := feed.find(b"\r\n")) >= 0:
+            line = feed.take(end + 2)[0][:-2].rpartition(b"\n")[2]
+            if _DATA.fullmatch(line):
+                dot = feed.find(b"\r\n.\r\n")
+                if dot < 0:
+                    return
+                yield feed.take(dot + 5)[0][:-5]
+
+    def attachments(s: dict, sides: Iterator[tuple[str, Feed]]) -> Iterator[dict]:
+        n = 0
+        for mail in (m for side, feed in sides if side == "c2s" for m in mails(feed)):
             for part in email.message_from_bytes(mail, policy=email.policy.compat32).walk():
                 if (name := part.get_filename()) and (content := part.get_payload(decode=True)):
-                    yield {"file": s["file"], "stream": s["index"], "ts": s["start_ts"], "origin": "smtp-attachment", "client": s["client"], "server": s["server"], "name": name, "claimed_type": part.get_content_type(), "content": content}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                if rows := list(attachments(batch.slice(k, 1).to_pylist()[0])):
-                    yield pa.RecordBatch.from_pylist(rows, types)
+                    yield {"file": s["file"], "stream": s["index"], "n": n, "ts": s["start_ts"], "origin": "smtp-attachment", "client": s["client"], "server": s["server"], "name": name, "claimed_type": part.get_content_type(), "content": content}
+                    n += 1
 
-    return streams.where("server_port IN (25, 587)").select("file", "index", "start_ts", "client", "server", "c2s").mapInArrow(run, ARTIFACT_SCHEMA)
+    return parsed(as_chunks(streams).where("server_port IN (25, 587)"), attachments, ARTIFACT_SCHEMA, types, most_rows=1)
 
 
 @F.pandas_udf(StringType())
@@ -76,17 +88,18 @@ def _decomposed(names: pd.Series) -> pd.Series:
     return names.str.normalize("NFKD")
 
 
-def carved(artifacts: DataFrame, budget: int = CARVE_BUDGET) -> DataFrame:
+def carved(artifacts: DataFrame, budget: int | None = Limits.carve) -> DataFrame:
     """artifacts with a folder for each capture, number, safe name, size, hashes and type; those beyond a capture's budget
-    are marked skipped."""
-    w = Window.partitionBy("file").orderBy("ts", "stream", "origin", "name")
+    are marked skipped. Numbers and sums are those of narrow rows; contents meet them after."""
+    place = ["file", "stream", "origin", "n"]
     size = F.octet_length("content").cast("long")
-    out = artifacts.withColumns({"size": size, "number": F.row_number().over(w), "__sum": F.sum(size).over(w)})
-    return out.select(
-        "file", "stream", "ts", "origin", "client", "server",
+    narrow = running(artifacts.select(*place, "ts", "name", size.alias("size")), ["file"], F.col("ts"), ["ts", "stream", "origin", "name", "n"], {"number": F.lit(1), "upto": F.col("size")})
+    skipped = F.lit(False) if budget is None else F.col("upto") > budget
+    return artifacts.withColumn("size", size).join(narrow.select(*place, "number", "upto"), place).select(
+        "file", "stream", "n", "ts", "origin", "client", "server",
         F.concat(text.sanitize_filename(F.col("file")), F.lit("-"), F.substring(F.md5("file"), 1, 8)).alias("folder"),
         F.concat(F.lpad(F.col("number").cast("string"), 4, "0"), F.lit("_"), text.sanitize_filename(_decomposed(F.col("name")))).alias("name"), "claimed_type",
-        text.detect_type(F.col("content")).alias("detected_type"), "size", F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1"), F.md5("content").alias("md5"), (F.col("__sum") > budget).alias("skipped"), "content",
+        text.detect_type(F.col("content")).alias("detected_type"), "size", F.sha2("content", 256).alias("sha256"), F.sha1("content").alias("sha1"), F.md5("content").alias("md5"), skipped.alias("skipped"), "content",
     )
 
 
@@ -184,17 +197,28 @@ def encoding_chains(strings: DataFrame, column: str = "value", depth: int = CHAI
 
 
 def _xor(blob: bytes) -> list[tuple[int, str]]:
-    """(key, flag) of each one-byte key under which a flag prefix and its closing brace appear."""
-    data = np.frombuffer(blob[:XOR_REGION], np.uint8)
+    """(key, flag) of each one-byte key under which a flag prefix and its closing brace appear: the first such place, of the first
+    prefix that appears at all. The whole blob is searched: under any key the XOR of neighbouring bytes is the same, so one
+    search for the prefixes' differences finds the places for all keys."""
+    data = np.frombuffer(blob, np.uint8)
+    if len(data) < 2:
+        return []
+    steps = (data[1:] ^ data[:-1]).tobytes()
+    first: dict[tuple[int, int], int] = {}  # (key, number of the prefix) -> place
+    for p, (prefix, wanted) in enumerate(_XOR_STEPS):
+        at = steps.find(wanted)
+        while at >= 0:
+            first.setdefault((blob[at] ^ prefix[0], p), at)
+            at = steps.find(wanted, at + 1)
+    best: dict[int, int] = {}
+    for (key, _), at in sorted(first.items()):
+        best.setdefault(key, at)
     found = []
-    for key in range(1, 256):
-        plain = (data ^ np.uint8(key)).tobytes()
-        for prefix in XOR_PREFIXES:
-            if (at := plain.find(prefix)) >= 0:
-                end = plain.find(b"}", at)
-                if 0 <= end - at < XOR_REACH and plain[at : end + 1].isascii():
-                    found.append((key, plain[at : end + 1].decode("ascii")))
-                break
+    for key, at in sorted(best.items()):
+        plain = (data[at : at + XOR_REACH] ^ np.uint8(key)).tobytes()
+        end = plain.find(b"}")
+        if key and end >= 0 and plain[: end + 1].isascii():
+            found.append((key, plain[: end + 1].decode("ascii")))
     return found
 
 
@@ -216,21 +240,36 @@ def xor_sweep(blobs: DataFrame, column: str = "data") -> DataFrame:
 # --- secrets
 
 
-def surfaces(streams: DataFrame, http: DataFrame, dns: DataFrame, icmp: DataFrame) -> DataFrame:
-    """source, where, ts, text: what rules are tried on. Bytes are read as Latin-1."""
+def _side_texts(streams: DataFrame, most: int | None) -> DataFrame:
+    """The bytes of each side as texts of at most SCAN_BLOCK, each with the end of the one before; most bytes of a side in all."""
+    schema = "ts double, source string, where string, text string"
+    types = pa.schema([("ts", pa.float64()), ("source", pa.string()), ("where", pa.string()), ("text", pa.string())])
+    arrows = {"c2s": "client→server", "s2c": "server→client"}
+
+    def texts(who: dict, sides: Iterator[tuple[str, Feed]]) -> Iterator[dict]:
+        for side, feed in sides:
+            left, tail = float("inf") if most is None else most, b""
+            while left > 0 and (block := feed.take(min(left, SCAN_BLOCK))[0]):
+                source, where = f"TCP stream {who['index']} ({arrows[side]}, port {who['server_port']})", f"reassembled stream ({arrows[side]}); open with: wirelens stream {who['index']}"
+                yield {"ts": who["start_ts"], "source": source, "where": where, "text": (tail + block).decode("latin-1")}
+                left, tail = left - len(block), block[-SCAN_SHARED:]
+
+    return parsed(streams, texts, schema, types, most_rows=1)
+
+
+def surfaces(streams: DataFrame, http: DataFrame, dns: DataFrame, icmp: DataFrame, most: int | None = Limits.scan_window) -> DataFrame:
+    """source, where, ts, text: what rules are tried on. Bytes are read as Latin-1; of a side of a stream and of an answer's body
+    `most` bytes, None for all."""
     latin = lambda c: F.decode(c, "ISO-8859-1")
     follow = lambda c: F.concat(F.lit("; open with: wirelens stream "), F.col(c).cast("string"))
-    side = lambda c, arrow: F.struct(
-        F.format_string(f"TCP stream %d ({arrow}, port %d)", "index", "server_port").alias("source"), F.concat(F.lit(f"reassembled stream ({arrow})"), follow("index")).alias("where"), latin(F.substring(c, 1, SCAN_WINDOW)).alias("text")
-    )
-    from_streams = streams.select(F.col("start_ts").alias("ts"), F.explode(F.array(side("c2s", "client→server"), side("s2c", "server→client"))).alias("s")).select("ts", "s.*")
+    from_streams = _side_texts(streams, most)
     part = lambda name, c: F.struct(F.concat(F.lit(f"HTTP {name}: "), F.col("host"), F.col("path")).alias("source"), F.concat(F.lit(f"HTTP {name}"), follow("stream")).alias("where"), c.alias("text"))
     from_http = http.select(
         "ts",
         F.explode(
             F.array(
                 part("request line", F.concat_ws(" ", "method", "url", "version")), part("headers", F.concat_ws("\n", "user_agent", "auth_header", "cookies")), part("query string", F.col("query")),
-                part("request body", latin("req_body")), part("response body", latin(F.substring("resp_body", 1, SCAN_WINDOW))),
+                part("request body", latin("req_body")), part("response body", latin(F.col("resp_body") if most is None else F.substring("resp_body", 1, most))),
             )
         ).alias("s"),
     ).select("ts", "s.*")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.lookups import CONFIDENCE_FACTOR, SEVERITY_WEIGHT, TECHNIQUES
@@ -39,6 +40,11 @@ def finding(df: DataFrame, *, id: Column, title, severity, confidence, descripti
     )
 
 
+def conform(df: DataFrame) -> DataFrame:
+    """Findings with exactly the table's columns and types, as detectors of users may differ in them."""
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(SCHEMA)])
+
+
 def mitre_column(technique: Column, why: str) -> Column:
     tactic, name = (_map({k: v[n] for k, v in TECHNIQUES.items()})[technique] for n in (0, 1))
     return F.struct(technique.alias("technique"), tactic.alias("tactic"), name.alias("name"), F.lit(why).alias("why"))

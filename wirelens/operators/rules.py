@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +18,18 @@ HITS = "array<struct<rule:string,kind:string,confidence:string,score:int,value:s
 
 def scan(surfaces: DataFrame, rules: Iterable[Rule], column: str = "text") -> DataFrame:
     """A row for each hit: the other columns of surfaces, rule, kind, confidence, score, value. One pass over the text, and
-    a pattern is tried only on texts that hold the literal that it needs."""
+    a pattern is tried only on texts that hold, in lower case, one of the literals that it needs."""
+    low = "__low"
+
     def hits(r: Rule) -> Column:
         fixed = [F.lit(v).alias(n) for n, v in (("rule", r.id), ("kind", r.kind), ("confidence", r.confidence), ("score", r.score))]
         found = F.transform(F.regexp_extract_all(F.col(column), F.lit(r.java), F.lit(r.group)), lambda v: F.struct(*fixed, v.alias("value")))
-        return F.when(F.contains(F.col(column), F.lit(r.needs)), found).otherwise(F.array().cast(HITS)) if r.needs else found
+        holds = [F.contains(F.col(low), F.lit(x)) for x in sorted(r.needs)]
+        return F.when(reduce(Column.__or__, holds), found).otherwise(F.array().cast(HITS)) if holds else found
 
     others = [c for c in surfaces.columns if c != column]
-    return surfaces.select(*others, F.explode(F.flatten(F.array(*map(hits, rules)))).alias("hit")).select(*others, "hit.*")
+    lowered = surfaces.withColumn(low, F.lower(column))
+    return lowered.select(*others, F.explode(F.flatten(F.array(*map(hits, rules)))).alias("hit")).select(*others, "hit.*")
 
 
 def distinct_hits(hits: DataFrame, order: list[str]) -> DataFrame:

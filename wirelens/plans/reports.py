@@ -44,7 +44,7 @@ def summary(a: Analysis) -> dict:
     }
 
 
-#: Ports whose streams aren't unusual, and filters of a group at most.
+# Ports whose streams aren't unusual, and filters of a group at most.
 USUAL_PORTS, MOST_FILTERS = (80, 443, 53, 22, 25), 12
 
 
@@ -57,7 +57,7 @@ def wireshark_filters(a: Analysis) -> list[dict]:
     stream = F.format_string("tcp.stream == %d", "stream")
     changing = a.http.where("method IN ('POST', 'PUT')").select("method").distinct().orderBy("method")
     files = a.http.where("status = 200 AND resp_body_len > 0 AND path <> '/'").select("stream", "n", "path").orderBy("stream", "n")
-    odd = a.streams.where(~F.col("server_port").isin(*USUAL_PORTS) & (F.octet_length("c2s") + F.octet_length("s2c") > 0)).select(F.col("index").alias("stream"), "server_port").orderBy("stream")
+    odd = a.chunks.where(~F.col("server_port").isin(*USUAL_PORTS) & F.col("side").isNotNull()).select(F.col("index").alias("stream"), "server_port").distinct().orderBy("stream")
     asked = dns.domain_stats(a.dns_named).where("queries >= 3").orderBy(F.col("queries").desc(), "domain")
     return [
         *_rows(a.findings.select(F.lit("finding").alias("group"), F.col("title").alias("what"), F.explode("wireshark_filters").alias("filter")), 200),

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from .functions import net, text
 from .functions.lookups import ABUSED_PORTS, L7
 from .operators import dns as dnsops
-from .operators import flows, intervals
+from .operators import flows, intervals, sketches, temporal
 from .session import table
 from .sources.adapters import DNS_SQL, PACKETS_SQL, dns_from_pages, packets_from_events
 
@@ -326,3 +326,51 @@ def http_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = t.where("role = 'user'").select("conv_id", "pos", F.col("turn").alias("request_turn"), F.length("text").cast("long").alias("request_len"))
     a = t.where("role = 'assistant'").select("conv_id", "pos", F.col("turn").alias("response_turn"), F.length("text").cast("long").alias("response_len"))
     return q.join(a, ["conv_id", "pos"], "left")
+
+
+# --- joins by time and sketches
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
+
+
+@query("""SELECT e.event_id, e.user_id, f.event_id AS signup FROM events e
+ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'signup' AND user_id IS NOT NULL AND ts IS NOT NULL) f ON e.user_id = f.user_id AND e.ts >= f.ts""")
+def as_of_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last sign-up before it."""
+    e = _signed(spark, sf_dir)
+    facts = e.where("event_type = 'signup'").select("user_id", "us", F.col("event_id").alias("signup"))
+    return temporal.as_of(e.select("event_id", "user_id", "us"), facts, "user_id", "us", "signup", 86_400e6).select("event_id", "user_id", "signup")
+
+
+@query(f"""WITH {PACKETS_SQL}, facts AS (SELECT src AS ip, ts, frame, mac_src || ' ' || kind AS owner FROM packets WHERE tcp_flags = 'S')
+SELECT p.frame, p.src, f.owner FROM packets p ASOF LEFT JOIN facts f ON p.src = f.ip AND p.ts >= f.ts""")
+def address_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was last said of a packet's sender at the packet's time."""
+    p = packets_from_events(spark, sf_dir).withColumn("file", F.lit("events"))
+    facts = p.where("tcp_flags = 'S'").select("file", F.col("src").alias("ip"), "ts", F.concat_ws(" ", "mac_src", "kind").alias("owner"))
+    return temporal.owned(p.select("file", "frame", "ts", "src"), facts, "src", 86_400.0).select("frame", "src", "owner")
+
+
+@query(f"""WITH {PACKETS_SQL}, w AS (SELECT frame AS finding, src AS host, ts AS start_ts, ts + 7200 AS end_ts FROM packets WHERE kind = 'purchase')
+SELECT w.finding, count(*) AS packets, sum(p.payload_len)::BIGINT AS bytes FROM w JOIN packets p ON p.src = w.host AND p.ts BETWEEN w.start_ts AND w.end_ts GROUP BY w.finding""")
+def window_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of a host within two hours after each of its purchases."""
+    p = packets_from_events(spark, sf_dir)
+    windows = p.where("kind = 'purchase'").select(F.col("frame").alias("finding"), F.col("src").alias("host"), F.col("ts").alias("start_ts"), (F.col("ts") + 7200).alias("end_ts"))
+    found = temporal.during(p.select(F.col("src").alias("host"), "ts", "payload_len"), windows, "ts", "start_ts", "end_ts", 7200.0, ["host"])
+    return found.groupBy("finding").agg(F.count(F.lit(1)).alias("packets"), F.sum("payload_len").cast("long").alias("bytes"))
+
+
+@query(f"""WITH {PACKETS_SQL}, d AS (SELECT dst, count(*)::BIGINT AS n, count(DISTINCT src)::BIGINT AS exact, count(DISTINCT sport) AS ports FROM packets GROUP BY dst)
+SELECT dst, n, exact AS peers, true AS within FROM d""")
+def sketched_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peers of each destination from daily states put together; the exact number beside them, and whether the estimate is within 5 %
+    of it (or one, for few)."""
+    p = packets_from_events(spark, sf_dir).withColumn("day", F.floor(F.col("ts") / 86_400))
+    days = sketches.sketch(p, ["dst", "day"], distinct={"peers": F.col("src")})
+    found = sketches.estimates(sketches.merged(days, ["dst"], distinct=["peers"]), distinct=["peers"])
+    exact = p.groupBy("dst").agg(F.count_distinct("src").alias("exact"))
+    close = F.abs(F.col("peers") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return found.join(exact, "dst").select("dst", "n", F.col("exact").alias("peers"), close.alias("within"))
