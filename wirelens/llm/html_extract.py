@@ -60,7 +60,9 @@ CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
 }
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-_STOP = re.compile("[>\"']")
+#: The end of a tag, or the begin of a quoted value: a quote is one only right after an equals sign.
+_VALUE = re.compile(r">|=[\x20\t\r\n\f]*[\"']")
+_UNSEEN = re.compile(r"(?:^|[\s\"'])hidden(?=[\s/=]|$)|\baria-hidden\s*=\s*[\"']?true|\bstyle\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _DIGITS, _LONG = re.compile(r"\d+"), re.compile(r"\d{3,}")
@@ -70,7 +72,7 @@ def markup(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
     """(start, end, tag in lower case, attributes, whether it closes) of tags; comments and the like have no tag.
 
     One pass: no character is looked at more than a few times, whatever is left open. An open comment takes all that
-    follows; a quote that is never closed is none.
+    follows; a quote that is never closed, or that no equals sign precedes, is none.
     """
     at, last = 0, {q: html.rfind(q) for q in "\"'"}
     while (at := html.find("<", at)) >= 0:
@@ -85,11 +87,12 @@ def markup(html: str) -> Iterator[tuple[int, int, str, str, bool]]:
         elif m := _TAG.match(html, at):
             stop = m.end()
             while True:
-                s = _STOP.search(html, stop)
-                if not s or s[0] == ">":
-                    end = s.end() if s else len(html)
+                q = _VALUE.search(html, stop)
+                if not q or q[0] == ">":
+                    end = q.end() if q else len(html)
                     break
-                stop = s.end() if s.start() == last[s[0]] else html.find(s[0], s.end()) + 1
+                quote = q[0][-1]
+                stop = q.end() if q.end() - 1 == last[quote] else html.find(quote, q.end()) + 1
             yield at, end, m[2].lower(), html[m.end() : end].rstrip(">"), bool(m[1])
         else:
             at += 1
@@ -105,6 +108,7 @@ class Element:
     depth: int
     off: bool  # its name says that it isn't main text
     place: int  # among all tokens
+    cut: bool = False  # it goes from inside the container too
 
 
 @dataclass(slots=True)
@@ -172,9 +176,11 @@ def parse(html: str) -> tuple[list[Element], list[Block]]:
             end_block()
             while tag in CLOSED_BY.get(elements[stack[-1]].tag, ()):
                 pop()
-            label, off = _label(tag, rest)
+            label, off, cut = _label(tag, rest)
             above = stack[-1]
-            elements.append(Element(tag, _key(f"{elements[above].key}/{tag}{label}"), above, len(stack), off, place))
+            if tag == "header" and not any(opened[t] for t in ("article", "section")):
+                off = cut = True  # the site's, not an article's own
+            elements.append(Element(tag, _key(f"{elements[above].key}/{tag}{label}"), above, len(stack), off, place, cut))
             place += 1
             stack.append(len(elements) - 1)
             opened[tag] += 1
@@ -187,13 +193,17 @@ def _key(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _label(tag: str, rest: str) -> tuple[str, bool]:
-    """Class and id, numbers that may be a page's own left out, and whether the names say that the element isn't main text."""
+def _label(tag: str, rest: str) -> tuple[str, bool, bool]:
+    """Class and id, numbers that may be a page's own left out; whether a name in them says that the element isn't main text;
+    and whether it is so sure that the element goes from inside an article too: by its tag or role, as it is hidden, or by a
+    class that is exactly such a name."""
     names = {a.lower(): x or y or z for a, x, y, z in _ATTRIBUTE.findall(rest)} if rest else {}
     label = f"{_LONG.sub('0', names.get('class', ''))} {_DIGITS.sub('0', names.get('id', ''))}".strip()
     words = {w.lower() for w in _NAME.findall(label)} if label else set()
-    off = tag in BOILERPLATE or names.get("role", "").lower() in ROLES or bool(words & WORDS and tag not in ("html", "body", "main"))
-    return ("." + label if label else ""), off
+    cut = tag in BOILERPLATE or names.get("role", "").lower() in ROLES or bool(rest and _UNSEEN.search(rest))
+    named = tag not in ("html", "body", "main")
+    cut = cut or named and not WORDS.isdisjoint(names.get("class", "").lower().split())
+    return ("." + label if label else ""), cut or bool(words & WORDS and named), cut
 
 
 def weigh(elements: list[Element], blocks: list[Block]) -> list[int]:
@@ -306,18 +316,31 @@ def main_text(html: str, containers: tuple[int, ...] = (), texts: frozenset[int]
         weight, often = weights(elements, blocks), Counter(e.key for e in elements)
         around = [k for k, e in enumerate(elements) if e.tag not in PARAGRAPHS and often[e.key] == 1 and 2 * weight[k] > weight[0]]
         main = max(around, key=lambda k: (elements[k].depth, -k), default=0)
-    k = main
-    while k > 0:
-        main = k if elements[k].tag in ("article", "main") else main
+    k, article, outer = main, -1, -1
+    while k > 0:  # the outermost article around it; a main element only where no article is
+        article = k if elements[k].tag == "article" else article
+        outer = k if elements[k].tag == "main" else outer
         k = elements[k].above
+    if article > 0:
+        main = article
+    elif outer > 0:
+        inner = [k for k, e in enumerate(elements) if e.tag == "article" and _within(elements, k, outer)]
+        tops = [k for k in inner if not any(_within(elements, k, other) for other in inner if other != k)]
+        main = tops[0] if len(tops) == 1 and 2 * weights(elements, blocks)[tops[0]] > weights(elements, blocks)[outer] else outer
     # in the container, and in nothing there that isn't main text
     inside, kept = [False] * len(elements), [False] * len(elements)
     for k, e in enumerate(elements):
         inside[k] = k == main or (k > 0 and inside[e.above])
-        kept[k] = inside[k] and (k == main or (kept[e.above] and not e.off))
+        kept[k] = inside[k] and (k == main or (kept[e.above] and not e.cut))
     return "\n".join(b.text for b in blocks if kept[b.element] and _key(f"{elements[b.element].key}\0{b.text}") not in texts)
 
 
+def _within(elements: list[Element], k: int, around: int) -> bool:
+    while k > around:
+        k = elements[k].above
+    return k == around
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row per row of pages(page_id, url, html): page_id, url, text, n_chars.
 
