@@ -213,7 +213,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int = SEED_
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, seed_tokens: int = SEED_TOKENS, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """The rows of docs that cover no item; all columns stay."""
+    """The rows of docs that cover no item; all columns stay.
+
+    Null and empty texts cover none. Repeated rows are judged alike; texts of any length are read whole; without documents there are
+    no rows, without items all stay.
+    """
     for items in benchmark_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, heavy_share: in
 
     Null text counts as empty; empty texts are one group. Of equal texts the row with the smallest doc_id stays
     (null ids last); among repeated rows of that id the first in the scan stays and the others have kept = false.
-    Other columns are ignored. An empty table gives no rows.
+    Texts of any length are named block by block. Other columns are ignored. An empty table gives no rows.
     """
     norm = F.regexp_replace(text_or_empty(), SPACE, " ")
     rows = with_row_id(docs.select("doc_id", "text")).select("rid", "doc_id", norm.cast("binary").alias("bin"))

@@ -316,7 +316,11 @@ def identify(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
-    """The rows of docs(text, lang) whose language is identified, with a null lang filled in; all columns stay."""
+    """The rows of docs(text, lang) whose language is identified, with a null lang filled in; all columns stay.
+
+    Rows without a letter (null, empty) go. Repeated rows are judged alike; texts of any length are read whole; an empty table gives
+    none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     A run of gram lines or more that is equal (after trimming and turning white space into one space) to one
     earlier in the order of doc_id (nulls last), row and line goes; so does a single line of PASSAGE_WORDS words.
     Blank lines are no part of runs and stay. Null text gives an empty text with no lines. Of repeated rows the first
-    keeps its lines. The first occurrence of anything always stays. Other columns are ignored.
+    keeps its lines. The first occurrence of anything always stays. Texts of any length are read whole; an empty table gives no
+    rows. Other columns are ignored.
     """
     rows = with_row_id(docs.select("doc_id", "text")).select("rid", "doc_id", text_or_empty().alias("text"))
     gone = stash(repeated_lines(line_hashes(rows), gram, window), "gone")

@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = M
     size is the number of words (null: 0). Every row is taken target // source_size times and those below the
     source's threshold once more; the row at the threshold goes to the nearer side. Null is a source of its own, the
     last. Rows with the same doc_id and text have one hash and are taken alike. A source without words takes none.
-    Other columns are ignored.
+    Texts of any length are counted whole; an empty table gives no rows. Other columns are ignored.
     """
     sized = stash(docs.select("doc_id", F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
     joined = sized.join(_few(plan(sized, weights, most_repeats)), F.col("mix_source").eqNullSafe(F.col("mix_plan_source")))
@@ -86,7 +86,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = M
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs that the mix takes, as many times as it takes them; all columns stay."""
+    """The rows of docs that the mix takes, as many times as it takes them; all columns stay. Nulls, ties, repeated rows and an
+    empty table count as in mix."""
     sized = stash(docs.select(F.col("source").alias("mix_source"), _size().alias("size"), _hash().alias("mix_hash")), "sizes")
     chosen = plan(sized, weights, most_repeats).select("mix_plan_source", "mix_whole", "mix_bound")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # columns of any name stay apart from those of the plan

@@ -215,7 +215,8 @@ def simhash_classes(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, fingerprint, component_id.
 
     Texts without words (null, empty, white space) have fingerprint zero and link like any other. Rows with a null
-    id take part; their class is named by its smallest id, null if it has none. Other columns are ignored.
+    id take part; their class is named by its smallest id, null if it has none. Repeated rows each get their row; texts of any
+    length are read whole; an empty table gives no rows. Other columns are ignored.
     """
     docs_fp = stash(fingerprints(docs, shingle), "fps")
     classes = stash(near_classes(docs_fp), "fpclass").withColumnRenamed("fp", "f")
@@ -477,7 +478,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are linked if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; texts with the same
     lower-case words are one. Groups are connected by links. The row with the smallest doc_id stays (nulls last),
-    of repeated rows the first. Texts without words (null, empty) are equal to each other. An empty table gives none.
+    of repeated rows the first. Texts without words (null, empty) are equal to each other. Texts of any length are read whole. An empty
+    table gives none.
 
     SimHash joins most near copies: texts whose fingerprints link are tested. No 64-bit fingerprint finds every pair of
     similarity 0.8, so the rest is found exactly: in one order of all shingles, similar texts share one of the first
