@@ -223,3 +223,53 @@ def detect_bulk_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = detectors.detect_bulk_transfer(SimpleNamespace(conversations=flows.conversations(packets)))
     return found.select("id", "severity", F.col("evidence")[0].alias("packets"))
+
+
+@query(f"""WITH {PACKETS_SQL} SELECT 'icmp.payload-channel' AS id, 'Pings that carry data: ' || sum(payload_len) || ' bytes' AS title, count(*) || ' echo requests carry 16 bytes or more.' AS description,
+list_sort(list_distinct(list_concat(list(src), list(dst)))) AS hosts FROM packets WHERE frame % 3 = 0 AND payload_len >= 16 HAVING count(*) > 0""")
+def detect_icmp_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings with data: every third event as an ICMP frame, dissected, its payload as long as the event's."""
+    p = packets_from_events(spark, sf_dir)
+    kind = F.when(F.col("frame") % 3 == 0, "08").otherwise("00")
+    body = F.concat(kind, F.lit("00000000010001"), F.expr("repeat('41', payload_len)"))
+    raw = _frame(F.lit("01"), body, F.col("src"), F.col("dst"), F.col("ip_id"), F.col("ip_ttl"), F.lit("080027111111"))
+    frames = p.select(F.lit("events").alias("file"), "frame", "ts_us", F.lit(1).alias("linktype"), F.unhex(raw).alias("raw"))
+    found = detectors.detect_icmp_payload(SimpleNamespace(icmp=app.icmp(packets_from_frames(frames))))
+    return found.select("id", "title", "description", "hosts")
+
+
+@query("""SELECT 'http.basic-auth-cleartext' AS id, 'MEDIUM' AS severity, 'Credentials in HTTP headers (' || count(*) || ')' AS title, ['10.0.0.5'] AS hosts FROM customer HAVING count(*) > 0""")
+def detect_cleartext_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic authentication in every customer's request, after a first one without."""
+    c = table(spark, sf_dir, "customer")
+    login = F.base64(F.encode(F.concat("c_name", F.lit(":pw"), F.col("c_custkey").cast("string")), "UTF-8"))
+    ask = F.encode(F.concat(F.lit("GET / HTTP/1.1\r\nHost: a\r\n\r\nGET /x HTTP/1.1\r\nAuthorization: Basic "), login, F.lit("\r\n\r\n")), "UTF-8")
+    s = _streams(c, F.col("c_custkey"), 8081, ask, F.encode(F.lit("HTTP/1.1 200 OK\r\n\r\n"), "UTF-8"))
+    return detectors.detect_cleartext_auth(SimpleNamespace(credentials=app.credentials(s))).select("id", "severity", "title", "hosts")
+
+
+@query("""SELECT 'creds.cleartext.' || p AS id, upper(p) || ' passwords in clear text (' || n || ')' AS title, 'HIGH' AS severity FROM (
+SELECT p, count(*) AS n FROM (SELECT CASE c_custkey % 3 WHEN 0 THEN 'ftp' WHEN 1 THEN 'imap' ELSE 'smtp' END AS p FROM customer) GROUP BY p)""")
+def detect_cleartext_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins over FTP, IMAP and SMTP, a third of the customers each; of several SMTP logins in a stream the last counts."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    encoded = lambda x: F.base64(F.encode(x, "UTF-8"))
+    ftp = F.concat(F.lit("USER "), "c_name", F.lit("\r\nPASS pw\r\n"))
+    imap = F.concat(F.lit('a1 LOGIN "'), "c_name", F.lit('" "pw"\r\na2 LOGOUT\r\n'))
+    smtp = F.concat(F.lit("EHLO x\r\nAUTH LOGIN\r\n"), encoded("c_name"), F.lit("\r\n"), encoded(F.lit("old")), F.lit("\r\nAUTH LOGIN\r\n"), encoded("c_name"), F.lit("\r\n"), encoded(F.lit("new")), F.lit("\r\n"))
+    parts = [_streams(c.where(key % 3 == k), key, port, F.encode(ask, "UTF-8"), F.encode(F.lit("220 x\r\n"), "UTF-8")) for k, (port, ask) in enumerate(((21, ftp), (143, imap), (587, smtp)))]
+    found = app.credentials(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return detectors.detect_cleartext_protocols(SimpleNamespace(credentials=found)).select("id", "title", "severity")
+
+
+@query("""WITH c AS (SELECT '10.5.0.' || (user_id % 40) AS ip, '02:00:00:00:00:0' || (CASE WHEN user_id % 40 < 12 THEN event_id % 3 ELSE user_id % 40 % 9 END) AS mac, event_id FROM events)
+SELECT 'arp.conflict.' || ip AS id, 'HIGH' AS severity, 'Claimed by ' || string_agg(DISTINCT mac, ', ' ORDER BY mac) || '.' AS description FROM c GROUP BY ip HAVING count(DISTINCT mac) > 1 ORDER BY min(event_id), ip LIMIT 6""")
+def detect_arp_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ARP replies as frames; some addresses are claimed by several devices."""
+    e = table(spark, sf_dir, "events")
+    who, k = F.col("user_id") % 40, F.col("event_id")
+    mac = F.concat(F.lit("02000000000"), F.when(who < 12, k % 3).otherwise(who % 9).cast("string"))
+    ip = F.concat(_address(F.lit("10.5.0.0")).substr(1, 6), _number(who, 1))
+    raw = F.concat(F.lit("ffffffffffff"), mac, F.lit("0806"), F.lit("0001080006040002"), mac, ip, F.lit("ffffffffffff0a050001"))
+    packets = packets_from_frames(e.select(F.lit("events").alias("file"), (k + 1).alias("frame"), k.alias("ts_us"), F.lit(1).alias("linktype"), F.unhex(raw).alias("raw")))
+    return detectors.detect_arp_conflict(SimpleNamespace(arp=app.arp_events(packets))).select("id", "severity", "description")
