@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +19,10 @@ from ..session import remove, shared_folder
 from ..sources.rules import Rule, load_rules
 
 
+#: Tables that are written, and detectors that are planned, at the same time.
+SIDE_BY_SIDE = 6
+
+
 class Analysis:
     """Packets of a path (or given) and all that follows from them. Packets, flows, messages and the like, which many results
     read, are written to a table in the shared folder when they are first asked for: plans start from it and stay short, and a
@@ -34,7 +41,7 @@ class Analysis:
         return self.spark.createDataFrame([(n, seconds, n / seconds)], "packets long, seconds double, packets_per_second double")
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self._folder}/{len(self._kept)}"
+        path = f"{self._folder}/{uuid.uuid4().hex}"
         self._kept.append(path)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -172,12 +179,16 @@ class Analysis:
             made = findings.finding(self.spark.range(1), id=F.lit(f"internal.detector-error.{name}"), title=f"The detector {name} failed", severity="INFO", confidence="low", description=first, explanation="Other results are complete.", verification="", protocol="")
             return findings.conform(made)
 
-        found = {}
-        for name, detect in detectors.DETECTORS.items():
+        def planned(item: tuple) -> DataFrame:
+            name, detect = item
             try:
-                found[name] = findings.conform(detect(self))
+                return findings.conform(detect(self))
             except Exception as e:  # any detector, users' too
-                found[name] = failed(name, e)
+                return failed(name, e)
+
+        self._prepare()
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            found = dict(zip(detectors.DETECTORS, pool.map(planned, detectors.DETECTORS.items())))
         try:
             every = self._keep(reduce(DataFrame.unionByName, found.values()))
         except Exception:
@@ -190,6 +201,15 @@ class Analysis:
             every = reduce(DataFrame.unionByName, parts)
         return findings.ranked(every)
 
+    def _prepare(self) -> None:
+        """Write the tables that detectors share, those that don't need each other side by side. What fails here fails again in the
+        detectors that ask for it."""
+        _ = self.packets, self._folder
+        with contextlib.suppress(Exception), ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            _ = self.chunks
+            for group in (("flows", "conversations", "dns_named", "http", "dialog"), ("credentials", "secrets", "covert_fields"), ("covert",)):
+                list(pool.map(lambda name: getattr(self, name), group))
+
     @cached_property
     def left_out(self) -> DataFrame:
         """What the limits left out: file, stream, what."""

@@ -1,7 +1,7 @@
 """Capture files (pcap, pcapng, gzip of either) as packet rows.
 
-A file of up to SPLIT_BYTES is one row of Spark's binaryFile source, so it can be in any store Spark reads, and one task walks
-its records. A larger one is cut into byte ranges. Where records begin can't be told from a place inside a capture, so a first
+A file of up to a range's size is one row of Spark's binaryFile source, so it can be in any store Spark reads, and one task walks
+its records. A larger one is cut into byte ranges, of 128 MB or a core's share of all bytes. Where records begin can't be told from a place inside a capture, so a first
 pass over each range looks for a run of plausible record headers, walks from there and says where its records begin and end;
 ranges whose begin is not the end of the range before are walked again from the right place, until all meet. What is read
 is then exactly what one walk through the file reads: the search only decides how much is walked twice. The second pass
@@ -26,8 +26,8 @@ from ..functions.lookups import CAPTURE_MAGIC, LINKTYPES
 from .dissect import PACKET_SCHEMA, packet_batch
 
 BATCH = 8192
-#: Bytes of a range of a large file, and bytes read at a time.
-SPLIT_BYTES, READ = 128 << 20, 4 << 20
+#: Bytes of a range of a large file at most, and at least where there are more cores than such ranges; bytes read at a time.
+SPLIT_BYTES, LEAST_SPLIT, READ = 128 << 20, 1 << 20, 4 << 20
 #: No record is longer; headers that must follow each other where a range begins, and the longest record looked for there.
 MOST_RECORD, RUN, MOST_SOUGHT = 128 << 20, 6, 256 << 10
 # Formats of capture files.
@@ -422,9 +422,14 @@ def _walker(spark: SparkSession, errors: dict[str, str]) -> Callable[[list[tuple
 class Files:
     """The capture files at a path: those that are walked by ranges, and the others."""
 
-    def __init__(self, spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> None:
-        self.spark, self.split_bytes = spark, split_bytes
+    def __init__(self, spark: SparkSession, path: str, split_bytes: int | None = None) -> None:
+        """split_bytes None: a core's share of all bytes, within LEAST_SPLIT and SPLIT_BYTES."""
+        self.spark = spark
         self.all = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("size_bytes"), "content")
+        if split_bytes is None:
+            share = (self.all.agg(F.sum("size_bytes")).first()[0] or 0) // spark.sparkContext.defaultParallelism
+            split_bytes = min(SPLIT_BYTES, max(LEAST_SPLIT, share))
+        self.split_bytes = split_bytes
         large = [(r.file, r.size_bytes) for r in self.all.where(F.col("size_bytes") > split_bytes).select("file", "size_bytes").collect()]
         stores: dict[str, bool] = {}
         for file, _ in large:
@@ -462,7 +467,7 @@ def _rows(file: str, found: Iterator[Record], frames: int, most: int | None) ->
         yield packet_batch(file, frames + 1, held)
 
 
-def read_packets(spark: SparkSession, path: str, max_packets: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read_packets(spark: SparkSession, path: str, max_packets: int | None = None, split_bytes: int | None = None) -> DataFrame:
     """Packet rows of the capture files at path; frame counts from 1 in each file. max_packets stops each file early."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,7 +536,7 @@ def _no_capture(why: str) -> dict:
     return {"format": "", "detail": "", "packet_count": 0, "linktype": "", "interfaces": [], "truncated": False, "notes": [why]}
 
 
-def capture_meta(spark: SparkSession, path: str, max_packets: int | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def capture_meta(spark: SparkSession, path: str, max_packets: int | None = None, split_bytes: int | None = None) -> DataFrame:
     """One row per capture file; a file that is no capture has its error in notes. A file that max_packets stops says so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
