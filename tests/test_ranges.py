@@ -94,6 +94,9 @@ def test_gzip_members_and_padding():
     walked = pcap.meet({"f": len(packed)}, 64, lambda rows: [pcap.walk_range(io.BytesIO(packed), *r[1:]) for r in rows])["f"]
     pieces, n = pcap.parts("f", walked)
     assert n == 40 and len(pieces) == 1
+    stored = gzip.compress(whole, 0)  # unpacked it is shorter than the file
+    walked = pcap.meet({"f": len(stored)}, 64, lambda rows: [pcap.walk_range(io.BytesIO(stored), *r[1:]) for r in rows])["f"]
+    assert pcap.parts("f", walked)[1] == 40
 
 
 def test_sizes_that_no_record_has():

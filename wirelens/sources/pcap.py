@@ -294,6 +294,8 @@ def walk_range(f, size: int, start: int, stop: int, first: int | None = None, or
         out.simple, out.order, out.began, out.interfaces = seen.early, unknown.order, unknown.began, unknown.interfaces
     out.next = tape.at
     out.cut = tape.ahead(1) or tape.f.cut if isinstance(tape.f, Unpacked) else tape.at < stop
+    if isinstance(tape.f, Unpacked):  # its places are those of the unpacked bytes: no other range has any
+        out.next = 1 << 62
     return out
 
 
