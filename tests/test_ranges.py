@@ -119,9 +119,9 @@ def test_large_files_on_many_tasks(spark, tmp_path):
     (folder / "c.pcap.gz").write_bytes(gzip.compress(fr.pcap(some_frames(60)), 0))
     (folder / "d.txt").write_bytes(b"no capture " * 900)
     (folder / "e.pcap").write_bytes(fr.pcap(some_frames(3)))
-    path = f"{folder}/*a*"
+    path = f"{folder}/a*"
     whole = rows_of(spark, path)
-    assert whole == rows_of(spark, path, split_bytes=1500) and len(whole) == 300 + 300 * 0
+    assert whole == rows_of(spark, path, split_bytes=1500) and len(whole) == 300
     assert pcap.read_packets(spark, path, split_bytes=1500).select("file").rdd.getNumPartitions() > 10
     assert rows_of(spark, path, split_bytes=1500, max_packets=77) == whole[:77]
     for name in ("b.pcapng", "c.pcap.gz", "e.pcap"):

@@ -76,7 +76,7 @@ class Tape:
 
     def __init__(self, f, at: int = 0) -> None:
         self.f, self.at, self.held, self.pos = f, at, b"", 0
-        if at:
+        if not isinstance(f, Unpacked):
             f.seek(at)
 
     def ahead(self, n: int) -> bool:
