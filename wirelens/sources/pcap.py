@@ -153,6 +153,8 @@ class Section:
     #: (link type, time units a second, name)
     interfaces: list[tuple[int, int, str]] = field(default_factory=list)
     began: bool = False
+    #: names of the interfaces of all sections
+    names: list[str] = field(default_factory=list)
 
 
 Record = tuple[int, int, bytes, int]
@@ -179,6 +181,7 @@ def _pcapng_records(tape: Tape, section: Section, stop: float) -> Iterator[Recor
         data, at = tape.held, tape.pos
         if block == INTERFACE:
             section.interfaces.append(_interface(data[at + 8 : at + size - 4], section.order))
+            section.names.append(section.interfaces[-1][2])
         elif block == ENHANCED and size >= 32:
             iface, high, low, held, wire = struct.unpack_from(section.order + "IIIII", data, at + 8)
             link, per_second, _ = section.interfaces[iface] if iface < len(section.interfaces) else (1, 1_000_000, "")
@@ -259,6 +262,7 @@ class Walked:
     interfaces: list[tuple[int, int, str]] = field(default_factory=list)
     first_link: int = -1
     cut: bool = False
+    names: list[str] = field(default_factory=list)
 
 
 def walk_range(f, size: int, start: int, stop: int, first: int | None = None, order: str | None = None) -> Walked:
@@ -292,6 +296,7 @@ def walk_range(f, size: int, start: int, stop: int, first: int | None = None, or
             out.first_link = link if not out.n else out.first_link
             out.n += 1
         out.simple, out.order, out.began, out.interfaces = seen.early, unknown.order, unknown.began, unknown.interfaces
+        out.names = unknown.names
     out.next = tape.at
     out.cut = tape.ahead(1) or tape.f.cut if isinstance(tape.f, Unpacked) else tape.at < stop
     if isinstance(tape.f, Unpacked):  # its places are those of the unpacked bytes: no other range has any
@@ -387,10 +392,10 @@ def _can_open(path: str) -> bool:
 
 
 _RANGE = "k int, file string, size long, start long, stop long, first long, order string"
-_WALKED = "k int, first long, next long, n long, simple long, assumed string, order string, began boolean, interfaces array<struct<link:int,per_second:long,name:string>>, first_link int, cut boolean, error string"
+_WALKED = "k int, first long, next long, n long, simple long, assumed string, order string, began boolean, interfaces array<struct<link:int,per_second:long,name:string>>, first_link int, cut boolean, names array<string>, error string"
 _WALKED_TYPES = pa.schema([
     ("k", pa.int32()), ("first", pa.int64()), ("next", pa.int64()), ("n", pa.int64()), ("simple", pa.int64()), ("assumed", pa.string()), ("order", pa.string()), ("began", pa.bool_()),
-    ("interfaces", pa.list_(pa.struct([("link", pa.int32()), ("per_second", pa.int64()), ("name", pa.string())]))), ("first_link", pa.int32()), ("cut", pa.bool_()), ("error", pa.string()),
+    ("interfaces", pa.list_(pa.struct([("link", pa.int32()), ("per_second", pa.int64()), ("name", pa.string())]))), ("first_link", pa.int32()), ("cut", pa.bool_()), ("names", pa.list_(pa.string())), ("error", pa.string()),
 ])
 
 
@@ -415,7 +420,7 @@ def _walker(spark: SparkSession, errors: dict[str, str]) -> Callable[[list[tuple
         for r in ranges.mapInArrow(_walk_rows, _WALKED).collect():
             if r.error:
                 errors[rows[r.k][0]] = r.error
-            out[r.k] = Walked(r.first, r.next, r.n, r.simple, r.assumed, r.order, r.began, [tuple(i) for i in r.interfaces], r.first_link, r.cut)
+            out[r.k] = Walked(r.first, r.next, r.n, r.simple, r.assumed, r.order, r.began, [tuple(i) for i in r.interfaces], r.first_link, r.cut, list(r.names))
         return out
 
     return walk
@@ -517,7 +522,7 @@ def packets_from_frames(frames: DataFrame) -> DataFrame:
 
 
 def _summary(kind: Kind, packed: bool, n: int, walked: list[Walked]) -> dict:
-    names = [name for w in walked for _, _, name in w.interfaces]
+    names = [name for w in walked for name in w.names]
     links = [w.first_link for w in walked if w.first_link >= 0] + [i[0] for w in walked for i in w.interfaces] + ([kind.link] if kind.name == "pcap" else [])
     cut = any(w.cut for w in walked)
     notes = ["gzip-compressed capture"] * packed + ["the capture ends inside a record"] * cut
