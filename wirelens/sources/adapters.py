@@ -6,7 +6,7 @@ arithmetic only, so that any SQL engine can state the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -46,6 +46,19 @@ def packets_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def client_block(ip: Column) -> Column:
+    """The block of 250 users that a client of packets_from_events is in: the third part of its name."""
+    return F.split_part(ip, F.lit("."), F.lit(3)).try_cast("long")
+
+
+def address(ip: Column) -> Column:
+    """The IPv4 address that a name of packets_from_events stands for. Blocks of users are counted on above 255, and such a name is no
+    address: what is over is carried into the second part. Other names are addresses and stay."""
+    block = client_block(ip)
+    parts = F.shiftright(block, 8).bitwiseAND(F.lit(255)), block.bitwiseAND(F.lit(255)), F.split_part(ip, F.lit("."), F.lit(4))
+    return F.when(ip.startswith("10.0."), F.concat_ws(".", F.lit("10"), *[x.cast("string") for x in parts])).otherwise(ip)
+
+
 def dns_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as DNS records: a name from the URL's path and host, odd pages as the answer."""
     p = table(spark, sf_dir, "pages")
