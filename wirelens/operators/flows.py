@@ -6,7 +6,9 @@ unordered pair of endpoints; `frame` breaks ties of first and last. Hosts and co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import net
@@ -64,8 +66,9 @@ def conversations(packets: DataFrame) -> DataFrame:
     )
 
 
-def hosts(packets: DataFrame, with_v6: bool = False) -> DataFrame:
-    """One row per address in either role. services: ports that private sources contacted on it."""
+def hosts(packets: DataFrame, with_v6: bool = False, address: Callable[[Column], Column] = lambda ip: ip) -> DataFrame:
+    """One row per address in either role. services: ports that private sources contacted on it. address: gives the address that
+    a name in src and dst stands for, where these are names."""
     both = (F.col("src") != "") & (F.col("dst") != "")
     port = F.when(both & (F.col("dport") != 0), F.col("dport"))
     sender = F.struct(
@@ -74,10 +77,11 @@ def hosts(packets: DataFrame, with_v6: bool = False) -> DataFrame:
     )
     receiver = F.struct(
         F.col("dst").alias("ip"), F.col("mac_dst").alias("mac"), F.lit(0).cast("long").alias("sent"), both.cast("long").alias("received"),
-        F.lit(None).cast("int").alias("contacted"), F.when(net.classify_network(F.col("src"), with_v6) == "private", port).alias("service"),
+        F.lit(None).cast("int").alias("contacted"), F.when(net.classify_network(F.col("sender"), with_v6) == "private", port).alias("service"),
     )
+    packets = packets.select("frame", "frame_len", "src", "dst", "mac_src", "mac_dst", "dport", address(F.col("src")).alias("sender"))
     roles = packets.select("frame", F.col("frame_len").cast("long").alias("len"), F.explode(F.array(sender, receiver)).alias("r")).select("frame", "len", "r.*").where("ip <> ''")
-    return roles.groupBy("ip").agg(
+    found = roles.groupBy("ip").agg(
         F.sum("sent").alias("packets_sent"),
         F.sum("received").alias("packets_received"),
         F.sum(F.col("sent") * F.col("len")).alias("bytes_sent"),
@@ -86,7 +90,8 @@ def hosts(packets: DataFrame, with_v6: bool = False) -> DataFrame:
         F.sort_array(F.collect_set("contacted")).alias("ports_contacted"),
         F.sort_array(F.collect_set("service")).alias("services"),
         F.min("frame").alias("first_frame"),
-    ).withColumn("is_internal", net.is_internal(F.col("ip"), with_v6))
+    )
+    return found.withColumn("as_address", address(F.col("ip"))).withColumn("is_internal", net.is_internal(F.col("as_address"), with_v6)).drop("as_address")
 
 
 def learn_hostnames(hosts_df: DataFrame, dns: DataFrame) -> DataFrame:
