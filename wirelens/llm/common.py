@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import map_batches, sliced  # noqa: F401
+
 #: The white space of every contract here, and its complement.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,38 +50,6 @@ def stash(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Bytes of rows that go to a Python worker together, in a session that sets no other bound.
-BATCH_BYTES = 4 << 20
-
-
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of bounded bytes, as texts may be long: a task holds each batch several times,
-    in Spark, on the way and in Python. A session with a bound of its own keeps it. After each task the Python worker, which
-    Spark keeps for the next, gives its free memory back."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, None) is None:
-        conf.set(name, str(BATCH_BYTES))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        _give_back()
-
-    return df.mapInArrow(task, schema)
-
-
-def _give_back() -> None:
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
-        trim(0)
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that a task makes Python objects of a few texts at a time."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
-
-
 #: Bitmaps of 4 KiB that are broadcast at most: 16 MB.
 MOST_BITMAPS = 4096
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import StringType
 
+from ..batches import map_batches, portions
 from ..functions import text
 from ..sources.rules import Rule
 from . import rules as ruleops
@@ -188,12 +189,12 @@ def encoding_chains(strings: DataFrame, column: str = "value", depth: int = CHAI
     schema = T.StructType([*strings.schema.fields, T.StructField("steps", T.ArrayType(T.StringType())), T.StructField("final", T.StringType()), T.StructField("printable", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, column):
             found = [_chain(x or "", depth) for x in batch.column(column).to_pylist()]
             new = [pa.array([f[k] for f in found], t) for k, t in (("steps", pa.list_(pa.string())), ("final", pa.string()), ("printable", pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "steps", "final", "printable"])
 
-    return strings.mapInArrow(run, schema)
+    return map_batches(strings, run, schema)
 
 
 def _xor(blob: bytes) -> list[tuple[int, str]]:
@@ -234,7 +235,7 @@ def xor_sweep(blobs: DataFrame, column: str = "data") -> DataFrame:
             cols = [batch.column(c).take(at) for c in others] + [pa.array([h[1] for h in hits], pa.int32()), pa.array([h[2] for h in hits], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, [*others, "key", "value"])
 
-    return blobs.select(*others, column).mapInArrow(run, schema)
+    return map_batches(blobs.select(*others, column), run, schema)
 
 
 # --- secrets
